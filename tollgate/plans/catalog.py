@@ -852,3 +852,59 @@ def verdict_summary(docs_df: DataFrame) -> DataFrame:
 )
 def q_verdict_summary(spark, sf):
     return verdict_summary(docs_lang(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# Streaming (W1-W5): run to completion, read back, compare with batch SQL
+# --------------------------------------------------------------------------
+
+
+@register(
+    "stream_screen",
+    f"SELECT doc_id, input_status, blocked_by, reason, pii_count FROM ({O.input_verdict_sql(DOCS_SQL, 'doc_id', 'text', 'live')})",
+)
+def q_stream_screen(spark, sf):
+    from ..streaming.screen import stream_screen
+
+    return stream_screen(spark, sf)
+
+
+_DOC_REQ_SQL = "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS request_id, doc_id, text FROM documents"
+
+
+@register(
+    "stream_audit",
+    f"""SELECT request_id, input_status AS status, blocked_by, reason,
+      CASE WHEN pii_count > 0 THEN 'pii' END AS pii_flag
+    FROM ({O.input_verdict_sql(_DOC_REQ_SQL, 'doc_id', 'text', 'live')})""",
+)
+def q_stream_audit(spark, sf):
+    from ..streaming.screen import stream_audit
+
+    a = stream_audit(spark, sf)
+    return a.select("request_id", "status", "blocked_by", "reason",
+                    F.when(F.col("pii_found").isNotNull(), F.lit("pii")).alias("pii_flag"))
+
+
+@register("stream_stats", _STATS_SQL)
+def q_stream_stats(spark, sf):
+    from ..streaming.screen import stream_stats
+
+    return stream_stats(spark, sf)
+
+
+@register(
+    "stream_daily",
+    f"SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS count FROM ({EVENTS_LOG_SQL}) GROUP BY 1",
+)
+def q_stream_daily(spark, sf):
+    from ..streaming.screen import stream_daily
+
+    return stream_daily(spark, sf)
+
+
+@register("stream_dedup", f"SELECT request_id FROM ({EVENTS_LOG_SQL})")
+def q_stream_dedup(spark, sf):
+    from ..streaming.screen import stream_dedup
+
+    return stream_dedup(spark, sf)

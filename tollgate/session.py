@@ -35,7 +35,7 @@ def build_session(master: str | None = None, app: str = "tollgate", shuffle_part
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = {**RESULT_CONF, **PERF_CONF, "spark.ui.enabled": "false"}
+    conf = {**RESULT_CONF, **PERF_CONF, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
