@@ -14,34 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dialect
+from .pii import fence
 from .rules import (
     INJECTION_CONFIDENCE_BASE,
     INJECTION_CONFIDENCE_CAP,
     INJECTION_CONFIDENCE_STEP,
     INJECTION_RULES,
     InjectionRule,
+    first_char_guard,
 )
 
 RESULT_TYPE = "struct<detected:boolean,confidence:double,type:string,reason:string>"
 
 
 def java_pattern(r: InjectionRule) -> str:
-    return dialect.to_java(r.pattern, "i")
+    return dialect.to_java(first_char_guard(r.first) + r.pattern, "i")
 
 
 def re2_pattern(r: InjectionRule) -> str:
     return dialect.to_re2(r.pattern, "i")
 
 
-def rule_hit(text: Column, r: InjectionRule, lowered: Column | None = None) -> Column:
+def rule_hit(text: Column, r: InjectionRule) -> Column:
     """Boolean: the rule matches somewhere in ``text``. Rules with needles
-    first check the cheap necessary substrings on the lower-cased text."""
+    first check those literal substrings by byte search."""
     hit = text.rlike(java_pattern(r))
     if r.needles:
-        low = lowered if lowered is not None else F.lower(text)
         pre = None
         for nd in r.needles:
-            c = F.instr(low, nd.lower()) > 0
+            c = F.instr(text, nd) > 0
             pre = c if pre is None else (pre & c)
         hit = F.when(pre, hit).otherwise(F.lit(False))
     return F.coalesce(hit, F.lit(False))
@@ -49,9 +50,8 @@ def rule_hit(text: Column, r: InjectionRule, lowered: Column | None = None) -> C
 
 def injection_hits(text: Column, rules: Sequence[InjectionRule] = INJECTION_RULES) -> Column:
     """Ordered ``array<struct<type,reason>>`` of the matching rules."""
-    low = F.lower(text)
     cands = [
-        F.when(rule_hit(text, r, low), F.struct(F.lit(r.type).alias("type"), F.lit(r.reason).alias("reason")))
+        F.when(rule_hit(text, r), F.struct(F.lit(r.type).alias("type"), F.lit(r.reason).alias("reason")))
         for r in rules
     ]
     return F.filter(F.array(*cands), lambda x: x.isNotNull())
@@ -102,7 +102,7 @@ def with_injection(
     if enabled is not None:
         hits = F.when(enabled, hits).otherwise(F.array().cast("array<struct<type:string,reason:string>>"))
     hits_col = out + "_hits"
-    df1 = df.withColumn(hits_col, hits)
+    df1 = df.withColumn(hits_col, fence(hits))
     return df1.withColumn(out, result_from_hits(F.col(hits_col)))
 
 

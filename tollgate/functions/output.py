@@ -15,11 +15,12 @@ from .rules import (
     TOPIC_REASON_TEMPLATE,
     TOXICITY_RULES,
     ToxicityRule,
+    first_char_guard,
 )
 
 
 def toxicity_java(r: ToxicityRule) -> str:
-    return dialect.to_java(r.pattern, "i")
+    return dialect.to_java(first_char_guard(r.first) + r.pattern, "i")
 
 
 def toxicity_re2(r: ToxicityRule) -> str:

@@ -40,14 +40,40 @@ def re2_pattern(p: PiiPattern) -> str:
     return dialect.to_re2(p.pattern, p.flags)
 
 
-def _prefilter(text: Column, p: PiiPattern) -> Column | None:
-    if not p.needles:
-        return None
-    cond = None
-    for nd in p.needles:
-        c = F.instr(text, nd) > 0
-        cond = c if cond is None else (cond | c)
-    return cond
+def _check(text: Column, token: str) -> Column:
+    if token == "digit":
+        return text.rlike("[0-9]")
+    if "|" in token:
+        alts = [F.instr(text, a) > 0 for a in token.split("|")]
+        out = alts[0]
+        for a in alts[1:]:
+            out = out | a
+        return out
+    return F.instr(text, token) > 0
+
+
+def _gates(text: Column, pats: Sequence[PiiPattern]) -> dict[str, Column]:
+    """One column per distinct cheap check used by the patterns."""
+    tokens = []
+    for p in pats:
+        for tok in p.requires:
+            if tok not in tokens:
+                tokens.append(tok)
+    return {f"__gate{i}": _check(text, tok) for i, tok in enumerate(tokens)}, tokens
+
+
+def fence(c: Column) -> Column:
+    """Mark a computed column as an optimisation fence.
+
+    Spark pushes a filter through a projection only when every output of the
+    projection is deterministic; it would otherwise substitute the span
+    expression into a later filter on a verdict (or the filter it infers
+    from an ``explode``) and run every regex twice, possibly before the
+    repartition that spreads the work. ``spark_partition_id()`` is
+    nondeterministic by definition and costs nothing, so the guarded column
+    is computed exactly once, where it is defined. Filters on the input
+    belong before screening (there they still reach the scan)."""
+    return F.when(F.spark_partition_id() >= F.lit(0), c)
 
 
 def _empty_strings() -> Column:
@@ -112,13 +138,17 @@ def with_pii(
     run on such rows."""
     t = F.col(text)
     pats = list(patterns)
+    gate_cols, tokens = _gates(t, pats)
+    df0 = df.withColumns(gate_cols) if gate_cols else df
     m_cols, g_cols = [], []
     stage1 = {}
     for i, p in enumerate(pats):
         jp = java_pattern(p)
         m = F.regexp_extract_all(t, F.lit(jp), 0)
-        pre = _prefilter(t, p)
-        gate = pre
+        gate = None
+        for tok in p.requires:
+            c = F.col(f"__gate{tokens.index(tok)}")
+            gate = c if gate is None else (gate & c)
         if enabled is not None:
             gate = enabled if gate is None else (enabled & gate)
         if gate is not None:
@@ -126,7 +156,7 @@ def with_pii(
         name = f"__pm{i}"
         stage1[name] = F.coalesce(m, _empty_strings())
         m_cols.append(name)
-    df1 = df.withColumns(stage1)
+    df1 = df0.withColumns(stage1).drop(*gate_cols.keys())
     stage2 = {}
     for i, p in enumerate(pats):
         name = f"__pg{i}"
@@ -139,7 +169,13 @@ def with_pii(
         _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])) for i, p in enumerate(pats)
     ]
     spans = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df2.withColumn(out, spans.cast(SPANS_TYPE)).drop(*m_cols, *g_cols)
+    # Most rows match nothing: skip the (interpreted) span building there.
+    any_match = None
+    for c in m_cols:
+        x = F.size(F.col(c)) > 0
+        any_match = x if any_match is None else (any_match | x)
+    spans = F.when(any_match, spans.cast(SPANS_TYPE)).otherwise(F.array().cast(SPANS_TYPE))
+    return df2.withColumn(out, fence(spans)).drop(*m_cols, *g_cols)
 
 
 def pii_mask(text: Column, spans: Column, mode: str = "reference") -> Column:

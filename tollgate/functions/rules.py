@@ -126,9 +126,10 @@ class PiiPattern:
     # True when the pattern itself already guarantees ``min_digits`` digits,
     # so the floor is a no-op and can be skipped.
     floor_implied: bool = False
-    # Literal substrings one of which every match must contain (cheap
-    # pre-filter before running the regex); empty = no pre-filter.
-    needles: tuple[str, ...] = ()
+    # Cheap row-level checks that every match implies, all required, tried
+    # before the regex: "digit" (some ASCII digit), "a|b" (one of the
+    # literals), or a literal substring (case-sensitive byte search).
+    requires: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -136,20 +137,50 @@ class InjectionRule:
     type: str
     pattern: str
     reason: str
-    # Every match contains all of these (lower-cased) substrings.
+    # Every match contains all of these literal (case-sensitive,
+    # non-letter) substrings; checked by byte search before the regex.
     needles: tuple[str, ...] = ()
+    # The characters a match can start with (case-insensitive), or "" when
+    # not worth stating; see ``first_char_guard``.
+    first: str = ""
 
 
 @dataclass(frozen=True)
 class ToxicityRule:
     pattern: str
     reason: str
+    first: str = ""
+
+
+# First characters of the rules that open with an alternation, read off the
+# patterns. Java's engine tries every alternative at every position; a
+# look-ahead on this set is implied by the pattern (so it cannot change the
+# leftmost match) and rejects most positions with one class test.
+_INJECTION_FIRST = {3: "rspdot", 5: "`<[", 6: "jd", 7: "bruh", 8: "sap", 9: "rp"}
+_TOXICITY_FIRST = {1: "his"}
+
+
+def first_char_guard(first: str) -> str:
+    """``(?=[...])`` for a set of possible first characters."""
+    if not first:
+        return ""
+    cls = "".join("\\" + c if c in "[]\\^-" else c for c in first)
+    return "(?=[" + cls + "])"
 
 
-_PII_NEEDLES = {
+# Necessary conditions read off each pattern: the digit-based detectors need
+# a digit (bitcoin needs a '1' or '3'), email an '@', the AWS key its fixed
+# prefix, an IP address a dot, an API key a '_' or '-' separator. Only 7% of
+# the test documents contain any digit, so most rows skip most regexes.
+_PII_REQUIRES = {
+    "credit_card": ("digit",),
+    "ssn": ("digit",),
     "email": ("@",),
+    "phone": ("digit",),
+    "api_key": ("_|-",),
     "aws_key": ("AKIA",),
-    "ip_address": (".",),
+    "bitcoin": ("digit",),
+    "ip_address": ("digit", "."),
 }
 
 PII_PATTERNS: tuple[PiiPattern, ...] = tuple(
@@ -165,22 +196,22 @@ PII_PATTERNS: tuple[PiiPattern, ...] = tuple(
         min_digits=PII_MIN_DIGITS.get(t),
         # 13..19 digit repetitions and 3+3+4 digits already meet the floors.
         floor_implied=True,
-        needles=_PII_NEEDLES.get(t, ()),
+        requires=_PII_REQUIRES.get(t, ()),
     )
     for (t, lbl, p, f) in PII_PATTERN_TABLE
 )
 
-# Necessary lower-case substrings for the brace template rule, whose lazy
-# scans are super-linear on brace-heavy text.
-_INJECTION_NEEDLES = {4: ("{", "system", "prompt", "}")}
+# The brace template rule needs both braces; its lazy scans are
+# super-linear on brace-heavy text, and most text has no braces at all.
+_INJECTION_NEEDLES = {4: ("{", "}")}
 
 INJECTION_RULES: tuple[InjectionRule, ...] = tuple(
-    InjectionRule(type=t, pattern=p, reason=r, needles=_INJECTION_NEEDLES.get(i, ()))
+    InjectionRule(type=t, pattern=p, reason=r, needles=_INJECTION_NEEDLES.get(i, ()), first=_INJECTION_FIRST.get(i, ""))
     for i, (t, p, r) in enumerate(INJECTION_RULE_TABLE)
 )
 
 TOXICITY_RULES: tuple[ToxicityRule, ...] = tuple(
-    ToxicityRule(pattern=p, reason=r) for (p, r) in TOXICITY_RULE_TABLE
+    ToxicityRule(pattern=p, reason=r, first=_TOXICITY_FIRST.get(i, "")) for i, (p, r) in enumerate(TOXICITY_RULE_TABLE)
 )
 
 

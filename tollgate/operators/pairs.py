@@ -57,14 +57,19 @@ def conversation_pairs(conversations: DataFrame, how: str = "inner") -> DataFram
 
 def keyword_route(text: Column) -> Column:
     """V4: intent of a processed prompt by lower-cased substring, first
-    match wins; ``general`` otherwise."""
-    low = F.lower(text)
+    match wins; ``general`` otherwise.
+
+    Lower-casing a whole text is costly for non-ASCII text, so the test is
+    an ASCII case-insensitive regex over the quoted keywords. For these
+    keywords that is the same test: apart from ASCII capitals, only the
+    Kelvin sign (to ``k``) and dotted capital I (to ``i`` plus a combining
+    dot) lower-case into ASCII letters, no keyword has a ``k``, and every
+    ``i`` in a keyword is followed by another letter."""
+    import re as _re
+
     expr = None
     for r in ROUTES:
-        cond = None
-        for k in r.keywords:
-            c = low.contains(k)
-            cond = c if cond is None else (cond | c)
+        cond = F.coalesce(text.rlike("(?i)" + "|".join(_re.escape(k) for k in r.keywords)), F.lit(False))
         expr = F.when(cond, r.intent) if expr is None else expr.when(cond, r.intent)
     return expr.otherwise(ROUTE_DEFAULT)
 

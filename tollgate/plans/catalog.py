@@ -70,7 +70,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    return balanced(read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]))
 
 
 DOCS_SQL = "SELECT doc_id, text FROM documents"

@@ -41,15 +41,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     return df.select(*columns) if columns else df
 
 
+SPREAD_FACTOR = 4
+
+
 def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's parallelism when the input
-    has fewer partitions than cores (a small, single-file input). Row-level
-    screening is CPU-bound regex work, so an idle core is lost time; a big
-    input has enough splits already and is not shuffled."""
+    """Round-robin repartition when the input has fewer partitions than
+    cores (a small, single-file input). Row-level screening is CPU-bound
+    regex work, so an idle core is lost time; text lengths vary a lot, so we
+    aim for a few tasks per core. A big input has enough splits already and
+    is not shuffled."""
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * SPREAD_FACTOR)
     return df
 
 

@@ -18,17 +18,35 @@ from ..operators import audit, dashboard
 from ..operators.policy import DEFAULT_POLICY, Policy
 from ..operators.verdict import screen_input
 from ..session import scratch_path
-from ..sources.tables import events_as_audit, table_path
+from ..sources.tables import SPREAD_FACTOR, events_as_audit, table_path
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+def _input_splits(spark: SparkSession, path: str) -> int:
+    """Approximate number of scan splits of a path: bytes / split size."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(hpath).getLength()
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)).rstrip("bB") or 134217728)
+    return max(1, -(-size // max(split, 1)))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
+                 spread: bool = True) -> DataFrame:
     """A file stream over one driver table (the schema is taken from the
-    file once, never inferred per batch)."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
+    file once, never inferred per batch). With ``spread``, a source too
+    small to give every core a split is round-robin repartitioned, as the
+    batch ``balanced`` does; a large source is left alone."""
+    path = table_path(sf_dir, name)
+    schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    df = r.parquet(sf_dir)
+    want = spark.sparkContext.defaultParallelism
+    if spread and _input_splits(spark, path) < want:
+        df = df.repartition(want * SPREAD_FACTOR)
+    return df
 
 
 def events_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
