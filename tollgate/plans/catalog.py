@@ -908,3 +908,89 @@ def q_stream_dedup(spark, sf):
     from ..streaming.screen import stream_dedup
 
     return stream_dedup(spark, sf)
+
+
+# --------------------------------------------------------------------------
+# Further inventory entries: the injection result read column by column
+# (N12-N14), the long span form under its own name (J5), a toggled policy
+# (R4), the dry-run policy echo (P4), the JSON field-list fallback (O5) and
+# the rejected side of request validation.
+# --------------------------------------------------------------------------
+
+for _col in ["confidence", "type", "reason"]:
+    register(f"inj_{_col}", f"SELECT doc_id, {_col} FROM ({INJ_RESULT_SQL})")(
+        (lambda c: (lambda spark, sf: q_inj_result(spark, sf).select("doc_id", c)))(_col)
+    )
+
+register("pii_long", O.spans_sql(SEEDED_SQL, "doc_id", "text"))(_spans_query(seeded_docs, PII_PATTERNS))
+
+TOGGLED_POLICY = DEFAULT_POLICY.toggle("pii")
+
+
+@register("policy_toggle", _verdict_sql(SEEDED_SQL, "live", TOGGLED_POLICY))
+def q_policy_toggle(spark, sf):
+    """The PII rule switched off by a toggle; PII is still detected
+    (live profile) but no longer changes the verdict."""
+    return _verdict_select(screen_input(seeded_docs(spark, sf), "text", TOGGLED_POLICY))
+
+
+def _echo_json(policy) -> str:
+    import json as _json
+
+    def rules(rs):
+        return [{"type": r.type, "enabled": r.enabled, "action": r.action} for r in rs]
+
+    return _json.dumps(
+        {"inputRules": rules(policy.input_rules), "outputRules": rules(policy.output_rules),
+         "blockedTopics": list(policy.blocked_topics)},
+        separators=(",", ":"),
+    )
+
+
+@register(
+    "policy_echo",
+    f"""SELECT request_id, CASE WHEN input_status <> 'blocked' AND dry_run THEN {q(_echo_json(DEFAULT_POLICY))} END AS policy
+    FROM ({O.input_verdict_sql(REQ_SQL, 'doc_id', 'input', 'live')})""",
+)
+def q_policy_echo(spark, sf):
+    """Dry-run responses (input not blocked) echo the policy in force."""
+    from ..operators.policy import policy_echo
+
+    s = screen_input(requests_from_docs(spark, sf).drop("rules"), "input")
+    return s.select(
+        "request_id",
+        F.when((F.col("input_status") != "blocked") & F.col("dry_run"), F.to_json(policy_echo(DEFAULT_POLICY))).alias("policy"),
+    )
+
+
+# The policy's own field list ("k") wins over the rule's configured list
+# ("k", "v"); compare output_verdict_library, which uses the configured one.
+FALLBACK_POLICY = SCHEMA_POLICY.__class__(
+    input_rules=SCHEMA_POLICY.input_rules,
+    output_rules=SCHEMA_POLICY.output_rules,
+    blocked_topics=SCHEMA_POLICY.blocked_topics,
+    require_json=False,
+    json_required_fields=("k",),
+)
+_OVF = O.output_verdict_sql("body", "library", FALLBACK_POLICY)
+
+
+@register(
+    "json_field_fallback",
+    f"SELECT event_id, {_OVF['output_status']} AS output_status, {_OVF['schema_error']} AS schema_error FROM ({JSON_SQL})",
+)
+def q_json_field_fallback(spark, sf):
+    s = screen_output(json_candidates(spark, sf), "body", FALLBACK_POLICY, "library")
+    return s.select("event_id", "output_status", "schema_error")
+
+
+@register(
+    "rejected_requests",
+    "SELECT conv_id, turn, 'Input text is required.' AS error FROM conversations WHERE text IS NULL OR length(text) = 0",
+)
+def q_rejected_requests(spark, sf):
+    """P1, the rejected side (empty on the driver tables, which carry no
+    empty texts; the unit tests cover rejections)."""
+    from ..sources.tables import rejected_requests
+
+    return rejected_requests(conversations(spark, sf), "text").select("conv_id", "turn", "error")
