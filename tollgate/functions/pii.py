@@ -80,41 +80,33 @@ def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _starts(matches: Column, gaps: Column) -> Column:
-    """Running offsets: start(j) = sum(len(g0..gj)) + sum(len(m0..m(j-1)))."""
-    steps = F.transform(
-        matches,
-        lambda v, j: F.struct(
-            F.length(F.get(gaps, j)).alias("g"), F.length(v).alias("m")
-        ),
-    )
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("acc"))
-    return F.aggregate(
-        steps,
-        init,
-        lambda s, x: F.struct(
-            (s["pos"] + x["g"] + x["m"]).alias("pos"),
-            F.concat(s["acc"], F.array(s["pos"] + x["g"])).alias("acc"),
-        ),
-        lambda s: s["acc"],
-    )
-
-
 def _spans_for(p: PiiPattern, matches: Column, gaps: Column) -> Column:
-    starts = _starts(matches, gaps)
+    """Spans of one pattern in one left-to-right fold over (gap, match)
+    pairs: the running offset gives each start. One pass builds the list
+    (array growth copies references only), and no per-element expression
+    re-evaluates the fold."""
+    gaps = F.coalesce(gaps, _empty_strings())  # no split where nothing matched
+    pairs = F.zip_with(
+        F.slice(gaps, 1, F.size(matches)), matches, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))
+    )
+    empty = F.array().cast(SPANS_TYPE)
 
-    def one(v: Column, j: Column) -> Column:
-        val = F.regexp_replace(v, _JS_TRIM, "") if p.may_pad else v
-        start = F.get(starts, j)
-        return F.struct(
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["g"]
+        val = F.regexp_replace(x["v"], _JS_TRIM, "") if p.may_pad else x["v"]
+        span = F.struct(
             F.lit(p.type).alias("type"),
             F.lit(p.label).alias("label"),
             val.alias("value"),
-            start.alias("start"),
-            (start + F.length(val)).alias("end"),
+            start.cast("int").alias("start"),
+            (start + F.length(val)).cast("int").alias("end"),
+        )
+        return F.struct(
+            (start + F.length(x["v"])).alias("pos"),
+            F.concat(acc["spans"], F.array(span)).alias("spans"),
         )
 
-    spans = F.transform(matches, one)
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda a: a["spans"])
     if p.min_digits is not None and not p.floor_implied:
         n = p.min_digits
         spans = F.filter(

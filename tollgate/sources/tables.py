@@ -51,8 +51,12 @@ def balanced(df: DataFrame) -> DataFrame:
     aim for a few tasks per core. A big input has enough splits already and
     is not shuffled."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave as is
+        return df
+    if parts < cores:
         return df.repartition(cores * SPREAD_FACTOR)
     return df
 

@@ -43,9 +43,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.parquet(sf_dir)
-    want = spark.sparkContext.defaultParallelism
-    if spread and _input_splits(spark, path) < want:
-        df = df.repartition(want * SPREAD_FACTOR)
+    if spread:
+        try:
+            want = spark.sparkContext.defaultParallelism
+            small = _input_splits(spark, path) < want
+        except Exception:  # no JVM view (e.g. a Connect session)
+            small = False
+        if small:
+            df = df.repartition(want * SPREAD_FACTOR)
     return df
 
 
