@@ -994,3 +994,45 @@ def q_rejected_requests(spark, sf):
     from ..sources.tables import rejected_requests
 
     return rejected_requests(conversations(spark, sf), "text").select("conv_id", "turn", "error")
+
+
+# --------------------------------------------------------------------------
+# The suite operators on labelled driver data (J4, A8, A9): a labelled
+# document is expected to be blocked on output when marked toxic, allowed
+# otherwise; expected and actual meet in an inner join on the document id.
+# --------------------------------------------------------------------------
+
+
+def labelled_suite(spark, sf):
+    from ..operators.suite import expected_vs_actual
+
+    labels = read_table(spark, sf, "labels", ["doc_id", "toxic"]).select(
+        "doc_id", F.when(F.col("toxic") == 1, "blocked").otherwise("allowed").alias("expected")
+    )
+    actual = screen_output(docs(spark, sf), "text").select("doc_id", F.col("output_status").alias("actual"),
+                                                         F.col("output_reason").alias("details"))
+    return expected_vs_actual(labels, actual, "doc_id")
+
+
+_LOV = O.output_verdict_sql("d.text", "live")
+_LABEL_SQL = f"""SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 'blocked' ELSE 'allowed' END AS expected,
+  {_LOV['output_status']} AS actual, {_LOV['output_reason']} AS details
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+
+
+@register("suite_labels", f"SELECT *, expected = actual AS passed FROM ({_LABEL_SQL})")
+def q_suite_labels(spark, sf):
+    return labelled_suite(spark, sf).select("doc_id", "expected", "actual", "details", "passed")
+
+
+@register(
+    "suite_summary_labels",
+    f"""SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
+      {O.to_fixed_1_sql('(count(*) FILTER (WHERE passed))::DOUBLE / count(*)::DOUBLE * 100.0')} AS pass_rate,
+      0::BIGINT AS total_latency_ms
+    FROM (SELECT *, expected = actual AS passed FROM ({_LABEL_SQL}))""",
+)
+def q_suite_summary_labels(spark, sf):
+    from ..operators.suite import suite_summary
+
+    return suite_summary(labelled_suite(spark, sf).withColumn("latency_ms", F.lit(None).cast("int")))
