@@ -114,27 +114,38 @@ def screen_requests(
     )
 
 
-def response_json(screened: DataFrame, input_col: str = "input", extra: dict | None = None) -> Column:
-    """K5: the response row as JSON text. Null fields are omitted, as
+def response_json(screened: DataFrame, input_col: str = "input", extra: dict | None = None,
+                  latency_ms: Column | None = None) -> Column:
+    """K5: the response row as JSON text, keys in the order the response is
+    assembled: requestId, status, inputStatus{status, pii, injection,
+    maskedInput, blockedBy, reason}, originalInput, processedInput,
+    latencyMs, outputStatus{status, blockedBy, reason} (rows that reached
+    the output step), output, then ``extra``. Null fields are omitted, as
     undefined keys vanish when serialised."""
-    pii_struct = F.transform(
-        F.col("pii"),
-        lambda s: F.struct(s["type"], s["value"], s["start"], s["end"], s["label"]),
-    )
     inner = F.struct(
         F.col("input_status").alias("status"),
-        pii_struct.alias("pii"),
+        F.col("pii").alias("pii"),
         F.col("injection").alias("injection"),
         F.col("masked_input").alias("maskedInput"),
         F.col("blocked_by").alias("blockedBy"),
         F.col("reason").alias("reason"),
     )
+    out_status = F.when(
+        F.col("output_status").isNotNull(),
+        F.struct(
+            F.col("output_status").alias("status"),
+            F.col("output_blocked_by").alias("blockedBy"),
+            F.col("output_reason").alias("reason"),
+        ),
+    )
     fields = [
         F.col("request_id").alias("requestId"),
         F.col("response_status").alias("status"),
         inner.alias("inputStatus"),
         F.col(input_col).alias("originalInput"),
         F.col("processed_input").alias("processedInput"),
+        (latency_ms if latency_ms is not None else F.lit(None).cast("int")).alias("latencyMs"),
+        out_status.alias("outputStatus"),
         F.col("output").alias("output"),
     ]
     for k, v in (extra or {}).items():

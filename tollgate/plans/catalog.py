@@ -824,16 +824,58 @@ def q_clear_log(spark, sf):
     return audit.clear_log(spark, path).select("request_id", "status")
 
 
-@register("response_json", None)
+def _response_json_sql(verdict_sql: str, ov: dict) -> str:
+    gate = "(input_status <> 'blocked')"
+    resp = (
+        f"CASE WHEN input_status = 'blocked' THEN 'blocked_input' "
+        f"WHEN ({ov['output_status']}) = 'blocked' THEN 'blocked_output' ELSE 'allowed' END"
+    )
+    return _RJ_TEMPLATE.format(gate=gate, resp=resp, os=ov["output_status"], ob=ov["output_blocked_by"],
+                               orr=ov["output_reason"], src=verdict_sql)
+
+
+_RJ_TEMPLATE = """SELECT request_id, regexp_replace(to_json({{
+    'requestId': request_id, 'status': {resp},
+    'inputStatus': {{'status': input_status, 'pii': pii_list,
+       'injection': {{'detected': detected, 'confidence': confidence, 'type': inj_type, 'reason': inj_reason}},
+       'maskedInput': masked_input, 'blockedBy': blocked_by, 'reason': reason}},
+    'originalInput': input, 'processedInput': processed_input, 'latencyMs': CAST(NULL AS INTEGER),
+    'outputStatus': CASE WHEN {gate} THEN {{'status': {os}, 'blockedBy': {ob}, 'reason': {orr}}} END,
+    'output': CASE WHEN {gate} AND ({resp}) = 'allowed' THEN response END}}),
+  ',"(maskedInput|blockedBy|reason|latencyMs|outputStatus|output)":null', '', 'g') AS body
+FROM ({src})"""
+
+
+@register("response_json", _response_json_sql(_PAIR_LIVE, _PAIR_OV))
 def q_response_json(spark, sf):
-    """K5: response rows as JSON text (no oracle: JSON text formatting is
-    engine-specific; checked in tests)."""
+    """K5: response rows as JSON text (null keys omitted)."""
     from ..operators.pairs import response_json
 
     s = screen_requests(pairs(spark, sf), "input", "response")
     return s.select("request_id", response_json(s).alias("body"))
 
 
+_DOC_RESP_SQL = f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS request_id, doc_id, text AS input, '' AS response
+FROM ({SEEDED_SQL})"""
+
+
+@register(
+    "response_json_docs",
+    _response_json_sql(O.input_verdict_sql(_DOC_RESP_SQL, "doc_id", "input", "live"), O.output_verdict_sql("response", "live")),
+)
+def q_response_json_docs(spark, sf):
+    """K5 over seeded documents as requests with an absent (empty) answer:
+    span lists, masked inputs and blocked inputs all appear."""
+    from ..operators.pairs import response_json
+
+    reqs = seeded_docs(spark, sf).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("request_id"),
+        F.col("text").alias("input"), F.lit("").alias("response"),
+    )
+    s = screen_requests(reqs, "input", "response")
+    return s.select("request_id", response_json(s).alias("body"))
+
+
 # --------------------------------------------------------------------------
 # Minimum slice / flagship summary (section 7.1)
 # --------------------------------------------------------------------------

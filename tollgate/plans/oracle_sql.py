@@ -252,17 +252,23 @@ def input_verdict_sql(src: str, key: str, text: str, profile: str = "live", poli
     return f"""
 WITH src AS ({src}),
 sp AS ({spans_sql(src, key, text)}),
-pa AS (SELECT {key}, count(*) AS n, string_agg(label, ', ' ORDER BY pos) AS labels FROM sp GROUP BY {key}),
+pa AS (SELECT {key}, count(*) AS n, string_agg(label, ', ' ORDER BY pos) AS labels,
+        list({{'type': type, 'label': label, 'value': value, 'start': start::INTEGER, 'end': "end"::INTEGER}} ORDER BY pos) AS pii_list
+        FROM sp GROUP BY {key}),
 ih AS (SELECT {key}, {inj_hits_sql(text)} AS hits FROM src),
 ir AS (SELECT {key}, {f['detected']} AS detected, {f['confidence']} AS confidence, {f['type']} AS type,
        {f['reason']} AS reason FROM ih),
 mk AS ({mask_sql(src, key, text)}),
 v AS (
   SELECT src.*, src.{text} AS input_text, {status} AS input_status, {blocked_by} AS blocked_by, {reason} AS reason,
-    ({n_expr})::BIGINT AS pii_count, {ir_det} AS detected, {ir_conf} AS confidence, {ir_type} AS inj_type
+    ({n_expr})::BIGINT AS pii_count, {ir_det} AS detected, {ir_conf} AS confidence, {ir_type} AS inj_type,
+    CASE WHEN {inj_on if lib else 'true'} THEN ir.reason ELSE '' END AS inj_reason,
+    CASE WHEN {pii_on if lib else 'true'} THEN coalesce(pa.pii_list, []) ELSE [] END AS pii_list
     {extra_cols}
   FROM src LEFT JOIN pa ON src.{key} = pa.{key} JOIN ir ON src.{key} = ir.{key})
-SELECT v.*, {masked} AS processed_input FROM v LEFT JOIN mk ON v.{key} = mk.{key}"""
+SELECT v.*, {masked} AS processed_input,
+  CASE WHEN v.input_status = 'modified' THEN mk.masked END AS masked_input
+FROM v LEFT JOIN mk ON v.{key} = mk.{key}"""
 
 
 def output_verdict_sql(text: str, profile: str = "live", policy=None, tox_on: str = "true",
