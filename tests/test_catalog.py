@@ -27,7 +27,7 @@ def _norm(rows, cols):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ["events", "documents", "pages", "conversations", "benchmark"]:
+    for t in ["events", "documents", "pages", "conversations", "benchmark", "labels"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
 
