@@ -71,14 +71,19 @@ OBJECT_PROTOTYPE_KEYS = (
 )
 
 
+def _wrapped(text: Column) -> tuple[Column, Column]:
+    a = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    b = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
+    return a, b
+
+
 def json_is_valid(text: Column) -> Column:
     """Strict JSON validity: exactly one JSON value, surrounding whitespace
     allowed, duplicates allowed. Wrapping in ``[ ]`` and in ``{"w": }`` and
     requiring both to parse rejects trailing text and lists like ``1,2``.
     Needs ``spark.sql.variant.allowDuplicateKeys=true`` (set by
     ``tollgate.session``)."""
-    a = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    b = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
+    a, b = _wrapped(text)
     return a.isNotNull() & b.isNotNull()
 
 
@@ -98,13 +103,16 @@ def json_validate(text: Column, fields: Sequence[str] = ()) -> Column:
     null top level fails as invalid JSON (the membership test throws); an
     object needs each field as a non-null own key (or a prototype name); an
     array answers to ``length`` and its indices."""
-    valid = json_is_valid(text)
+    a, b = _wrapped(text)
+    valid = a.isNotNull() & b.isNotNull()
     if not fields:
         return F.struct(
             valid.alias("passed"),
             F.when(~valid, F.lit(JSON_INVALID_REASON)).alias("reason"),
         )
-    v = F.try_parse_json(text)
+    # the value itself is the single element of the array wrapper: no
+    # third parse
+    v = F.try_variant_get(a, "$[0]", "variant")
     kind = F.schema_of_variant(v)
     is_obj = kind.startswith("OBJECT")
     is_arr = kind.startswith("ARRAY")
