@@ -535,7 +535,11 @@ ORACLES["dry_run"] = _DRY_STATUS_SQL
 
 
 def pairs(spark, sf, how="left"):
-    return conversation_pairs(conversations(spark, sf), how)
+    """Paired turns, spread after the join (the join output is what the
+    detectors work on; a sort-merge join at scale already has enough
+    partitions, a broadcast join keeps the scan's few)."""
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    return balanced(conversation_pairs(conv, how))
 
 
 _PAIR_OV = O.output_verdict_sql("response", "live")
@@ -587,7 +591,7 @@ def q_screen_pairs(spark, sf):
     f"SELECT request_id, has_response, length(response)::BIGINT AS response_chars FROM ({PAIRS_SQL})",
 )
 def q_response_join(spark, sf):
-    c = conversations(spark, sf)
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
     reqs = c.filter(F.col("role") == "user").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id")
     )
