@@ -68,8 +68,23 @@ def confidence(hits: Column) -> Column:
     return F.when(F.size(hits) > 0, score).otherwise(F.lit(0.0))
 
 
-def result_from_hits(hits: Column) -> Column:
-    """``struct<detected, confidence, type, reason>``."""
+def _result_sql(h: str) -> str:
+    n_types = f"size(array_distinct(transform({h}, _x -> _x.type)))"
+    conf = (f"CASE WHEN size({h}) > 0 THEN least(CAST({INJECTION_CONFIDENCE_CAP!r} AS DOUBLE), "
+            f"CAST({INJECTION_CONFIDENCE_BASE!r} AS DOUBLE) + {n_types} * CAST({INJECTION_CONFIDENCE_STEP!r} AS DOUBLE)) "
+            f"ELSE CAST(0.0 AS DOUBLE) END")
+    return (f"named_struct('detected', size({h}) > 0, 'confidence', {conf}, "
+            f"'type', coalesce(get({h}, 0).type, 'none'), "
+            f"'reason', array_join(transform({h}, _x -> _x.reason), '; '))")
+
+
+def result_from_hits(hits: Column | str) -> Column:
+    """``struct<detected, confidence, type, reason>`` (N11-N14). A column
+    name takes the SQL-text path (one expression object)."""
+    if isinstance(hits, str):
+        from .pii import ident
+
+        return F.expr(_result_sql(ident(hits)))
     return F.struct(
         (F.size(hits) > 0).alias("detected"),
         confidence(hits).alias("confidence"),
@@ -103,7 +118,7 @@ def with_injection(
         hits = F.when(enabled, hits).otherwise(F.array().cast("array<struct<type:string,reason:string>>"))
     hits_col = out + "_hits"
     df1 = df.withColumn(hits_col, fence(hits))
-    return df1.withColumn(out, result_from_hits(F.col(hits_col)))
+    return df1.withColumn(out, result_from_hits(hits_col))
 
 
 def is_blocking(inj: Column, threshold: float = 0.5) -> Column:

@@ -28,6 +28,37 @@ from .rules import PII_PATTERNS, PII_REASON_PREFIX_BLOCK, PII_REASON_PREFIX_MASK
 SPAN_TYPE = "struct<type:string,label:string,value:string,start:int,end:int>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
 
+
+def ident(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _plain(p: PiiPattern) -> bool:
+    """Detectors whose spans can be built by the SQL-text fold: no trim, no
+    digit floor to apply. (The shipped ones; custom ones take the Column
+    path.)"""
+    return not p.may_pad and (p.min_digits is None or p.floor_implied)
+
+
+def _spans_sql(p: PiiPattern, m: str, g: str) -> str:
+    """The one-fold span builder of ``_spans_for`` as SQL text: a single
+    expression object instead of hundreds of client-side calls."""
+    return (
+        f"aggregate(zip_with(slice(coalesce({g}, cast(array() as array<string>)), 1, size({m})), {m}, "
+        f"(_g, _v) -> named_struct('g', length(_g), 'v', _v)), "
+        f"named_struct('pos', 0, 'spans', cast(array() as {SPANS_TYPE})), "
+        f"(_a, _x) -> named_struct('pos', _a.pos + _x.g + length(_x.v), 'spans', concat(_a.spans, array(named_struct("
+        f"'type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', _x.v, "
+        f"'start', cast(_a.pos + _x.g as int), 'end', cast(_a.pos + _x.g + length(_x.v) as int))))), "
+        f"_a -> _a.spans)"
+    )
+
 # JavaScript String.prototype.trim() whitespace: \s plus line terminators.
 _JS_TRIM = r"^[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+|[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+$"
 
@@ -158,19 +189,41 @@ def with_pii(
         g_cols.append(name)
     df2 = df1.withColumns(stage2)
     parts = [
-        _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])) for i, p in enumerate(pats)
+        F.expr(_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))) if _plain(p)
+        else _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i]))
+        for i, p in enumerate(pats)
     ]
     spans = F.concat(*parts) if len(parts) > 1 else parts[0]
     # Most rows match nothing: skip the (interpreted) span building there.
-    any_match = None
-    for c in m_cols:
-        x = F.size(F.col(c)) > 0
-        any_match = x if any_match is None else (any_match | x)
+    any_match = F.expr(" OR ".join(f"size({ident(c)}) > 0" for c in m_cols))
     spans = F.when(any_match, spans.cast(SPANS_TYPE)).otherwise(F.array().cast(SPANS_TYPE))
     return df2.withColumn(out, fence(spans)).drop(*m_cols, *g_cols)
 
 
-def pii_mask(text: Column, spans: Column, mode: str = "reference") -> Column:
+_MASK_ORDER = {
+    "reference": "CASE WHEN _l.start > _r.start THEN -1 WHEN _l.start < _r.start THEN 1 "
+                 "WHEN _l.pos < _r.pos THEN -1 WHEN _l.pos > _r.pos THEN 1 ELSE 0 END",
+    "merged": "CASE WHEN _l.start < _r.start THEN -1 WHEN _l.start > _r.start THEN 1 "
+              "WHEN _l.pos < _r.pos THEN -1 WHEN _l.pos > _r.pos THEN 1 ELSE 0 END",
+}
+
+
+def _mask_sql(text: str, spans: str, mode: str) -> str:
+    if mode not in _MASK_ORDER:
+        raise ValueError(f"unknown mask mode {mode!r}")
+    idx = (f"transform({spans}, (_s, _i) -> named_struct('start', _s.start, 'end', _s.end, "
+           f"'label', _s.label, 'pos', _i))")
+    ordered = f"array_sort({idx}, (_l, _r) -> {_MASK_ORDER[mode]})"
+    if mode == "merged":
+        ordered = (f"aggregate({ordered}, named_struct('end', -1, 'keep', slice({ordered}, 1, 0)), "
+                   f"(_k, _y) -> CASE WHEN _y.start >= _k.end THEN named_struct('end', _y.end, "
+                   f"'keep', concat(array(_y), _k.keep)) ELSE _k END, _k -> _k.keep)")
+    fold = (f"aggregate({ordered}, {text}, (_acc, _m) -> concat(substr(_acc, 1, _m.start), '[', _m.label, ']', "
+            f"substr(_acc, _m.end + 1)))")
+    return f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE {text} END"
+
+
+def pii_mask(text: Column | str, spans: Column | str, mode: str = "reference") -> Column:
     """Replace spans by ``[label]``.
 
     ``reference``: apply spans right to left by start (stable: equal starts in
@@ -178,7 +231,11 @@ def pii_mask(text: Column, spans: Column, mode: str = "reference") -> Column:
     overlapping spans corrupt each other exactly as specified (a bare 16-digit
     card also matching phone gives ``[Credit Card Number]]``).
     ``merged``: keep non-overlapping spans (earliest start, then list order)
-    and replace those only."""
+    and replace those only. Column names (strings) take the SQL-text path."""
+    if isinstance(text, str) and isinstance(spans, str):
+        return F.expr(_mask_sql(ident(text), ident(spans), mode))
+    text = F.col(text) if isinstance(text, str) else text
+    spans = F.col(spans) if isinstance(spans, str) else spans
     indexed = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -230,16 +287,18 @@ def pii_mask(text: Column, spans: Column, mode: str = "reference") -> Column:
     return F.when(F.size(spans) > 0, folded).otherwise(text)
 
 
-def pii_labels(spans: Column) -> Column:
+def pii_labels(spans: Column | str) -> Column:
+    if isinstance(spans, str):
+        return F.expr(f"array_join(transform({ident(spans)}, _s -> _s.label), ', ')")
     return F.array_join(F.transform(spans, lambda s: s["label"]), ", ")
 
 
-def pii_reason(spans: Column, prefix: str = PII_REASON_PREFIX_MASK) -> Column:
+def pii_reason(spans: Column | str, prefix: str = PII_REASON_PREFIX_MASK) -> Column:
     """``PII detected: a, b`` (labels in list order, duplicates kept)."""
     return F.concat(F.lit(prefix), pii_labels(spans))
 
 
-def pii_block_reason(spans: Column) -> Column:
+def pii_block_reason(spans: Column | str) -> Column:
     return pii_reason(spans, PII_REASON_PREFIX_BLOCK)
 
 

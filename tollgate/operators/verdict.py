@@ -99,11 +99,11 @@ def screen_input(
         if action == "mask":
             status = status.when(pii_hit, "modified")
             blocked_by = blocked_by.when(pii_hit, "pii")
-            reason = reason.when(pii_hit, piif.pii_reason(pii))
+            reason = reason.when(pii_hit, piif.pii_reason("pii"))
         elif action == "block":
             status = status.when(pii_hit, "blocked")
             blocked_by = blocked_by.when(pii_hit, "pii")
-            reason = reason.when(pii_hit, piif.pii_block_reason(pii))
+            reason = reason.when(pii_hit, piif.pii_block_reason("pii"))
         status = status.otherwise("allowed")
     elif profile == "library":
         inj_action = default_action(inj_rule, "block")
@@ -118,11 +118,11 @@ def screen_input(
         if pii_action == "mask":
             status = status.when(has_pii, "modified")
             blocked_by = blocked_by.when(has_pii, "pii")
-            reason = reason.when(has_pii, piif.pii_reason(pii))
+            reason = reason.when(has_pii, piif.pii_reason("pii"))
         elif pii_action == "block":
             status = status.when(has_pii, "blocked")
             blocked_by = blocked_by.when(has_pii, "pii")
-            reason = reason.when(has_pii, piif.pii_block_reason(pii))
+            reason = reason.when(has_pii, piif.pii_block_reason("pii"))
         status = status.otherwise("allowed")
     else:  # suite
         masks = pii_rule is not None and pii_rule.action == "mask"
@@ -134,7 +134,7 @@ def screen_input(
         prefix = SUITE_PREFIX_MASK if masks else SUITE_PREFIX_BLOCK
         reason = (
             F.when(blocking, F.concat(F.lit(SUITE_PREFIX_INJECTION), injc["reason"]))
-            .when(has_pii, piif.pii_reason(pii, prefix))
+            .when(has_pii, piif.pii_reason("pii", prefix))
             .otherwise(F.lit(SUITE_ALL_PASSED))
         )
         blocked_by = F.when(
@@ -146,7 +146,7 @@ def screen_input(
         {"input_status": status, "blocked_by": blocked_by.cast("string"), "reason": reason.cast("string")}
     )
     masked = F.when(
-        F.col("input_status") == "modified", piif.pii_mask(F.col(text), pii, mask_mode)
+        F.col("input_status") == "modified", piif.pii_mask(text, "pii", mask_mode)
     ) if profile != "suite" else _lit_str(None)
     return decided.withColumn("masked_input", masked).withColumn(
         "processed_input", F.coalesce(F.col("masked_input"), F.col(text))

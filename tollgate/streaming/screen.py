@@ -22,13 +22,14 @@ from ..sources.tables import SPREAD_FACTOR, events_as_audit, table_path
 
 
 def _input_splits(spark: SparkSession, path: str) -> int:
-    """Approximate number of scan splits of a path: bytes / split size."""
+    """Approximate number of scan splits of a path (metadata only)."""
+    from ..sources.tables import _split_bytes
+
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
     size = fs.getContentSummary(hpath).getLength()
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)).rstrip("bB") or 134217728)
-    return max(1, -(-size // max(split, 1)))
+    return max(1, -(-size // _split_bytes(spark)))
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
