@@ -15,10 +15,9 @@ def spark():
     from tollgate.session import build_session
 
     s = build_session("local[4]", app="tollgate-tests", shuffle_partitions=4)
-    # Tests own their scratch space; a cluster names a shared folder instead.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="tollgate-tests-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    # Tests own their scratch space when the session names none; a cluster
+    # names a shared folder in spark.checkpoint.dir instead.
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tollgate-tests-"))
     yield s
     s.stop()

@@ -105,6 +105,8 @@ def test_stream_equals_batch(spark):
 
 
 def test_scratch_under_checkpoint_dir(spark):
+    from tollgate.session import checkpoint_dir
+
     p = scratch_path(spark, "x")
-    assert p.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    assert p.startswith(checkpoint_dir(spark))
     assert not os.path.exists(p)

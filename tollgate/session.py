@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -58,22 +57,25 @@ def apply_result_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only when the
-    session has none (local tests) do we set one, under the system temp
-    folder; on a cluster the setting must point at shared storage."""
+    """The shared folder named by ``spark.checkpoint.dir`` (a core setting,
+    fixed when the application starts), else the folder registered with
+    ``SparkContext.setCheckpointDir``. Only when neither exists (local
+    tests) do we register a fresh folder under the system temp folder; on a
+    cluster the setting must point at shared storage."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:
-            d = None
-    if not d:
-        d = os.path.join(tempfile.gettempdir(), f"tollgate-ckpt-{uuid.uuid4().hex[:8]}")
-        spark.conf.set("spark.checkpoint.dir", d)
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:
-            pass
+    if d:
+        return d.rstrip("/")
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:
+        d = None
+    if d:
+        return d.rstrip("/")
+    d = tempfile.mkdtemp(prefix="tollgate-ckpt-")
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:
+        pass
     return d.rstrip("/")
 
 
