@@ -139,3 +139,38 @@ def stream_dedup(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes"
     both = log.unionByName(replay).withWatermark("created_at", watermark)
     dedup = both.dropDuplicatesWithinWatermark(["request_id"]).select("request_id")
     return spark.read.parquet(run_to_table(spark, dedup, "stream-dedup"))
+
+
+# --------------------------------------------------------------------------
+# Long-running forms (W2, W3): a processing-time trigger instead of "all
+# available now". Checkpoints default to the shared checkpoint folder, so a
+# restarted driver resumes from the last committed offsets.
+# --------------------------------------------------------------------------
+
+
+def start_audit_stream(requests: DataFrame, sink: str, text: str = "input", policy: Policy = DEFAULT_POLICY,
+                       profile: str = "live", checkpoint: str | None = None, trigger: str = "5 seconds",
+                       created_at=None, name: str = "tollgate-audit"):
+    """W1+W2: screen a request stream (``request_id`` and ``text`` columns)
+    and append input-direction audit rows under ``sink`` through the
+    per-batch idempotent sink. Returns the running ``StreamingQuery``."""
+    spark = requests.sparkSession
+    s = screen_input(requests, text, policy, profile)
+    rows = audit.audit_rows(s, profile if profile == "suite" else "live", text, None,
+                            created_at=created_at if created_at is not None else F.current_timestamp())
+    ck = checkpoint or scratch_path(spark, name + "-checkpoint")
+    return (rows.writeStream.queryName(name).option("checkpointLocation", ck)
+            .foreachBatch(lambda bdf, bid: idempotent_append(bdf, bid, sink))
+            .trigger(processingTime=trigger).start())
+
+
+def start_stats_stream(audit_log: DataFrame, sink: str, checkpoint: str | None = None,
+                       trigger: str = "5 seconds", name: str = "tollgate-stats"):
+    """The dashboard counters kept current under ``sink`` (complete
+    mode, rewritten each trigger; readers see the newest full result)."""
+    spark = audit_log.sparkSession
+    stats = dashboard.dash_stats(audit_log)
+    ck = checkpoint or scratch_path(spark, name + "-checkpoint")
+    return (stats.writeStream.queryName(name).outputMode("complete").option("checkpointLocation", ck)
+            .foreachBatch(lambda bdf, bid: overwrite_result(bdf, bid, sink))
+            .trigger(processingTime=trigger).start())
