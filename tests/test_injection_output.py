@@ -81,3 +81,43 @@ def test_field_fallback():
     assert outf.resolve_json_fields(["a"], ["b"]) == ("a",)
     assert outf.resolve_json_fields([], ["b"]) == ("b",)
     assert outf.resolve_json_fields([], None) == ()
+
+
+def test_random_injection_against_reference(spark):
+    import random
+
+    frags = ["ignore", "all", "previous", "above", "instructions", "rules", "you", "are", "now", "no longer",
+             "a", "an", "evil", "DAN", "forget", "everything", "your", "reveal", "show", "the", "system",
+             "initial", "prompt", "{", "}", "```", "<|im_start|>", "[SYSTEM]", "jail", "break", "jailbreak",
+             "do anything now", "base64", "rot13", "url", "encoding", "html", "entities", "step", "3", ":", ".",
+             "act", "as", "if", "pretend", "read", "following", "text", "process", "this", "document", "guidance"]
+    seps = [" ", " ", " ", " ", "\t", "\n", "", "-", " "]
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(1500):
+        n = rnd.randint(1, 9)
+        t = ""
+        for i in range(n):
+            w = rnd.choice(frags)
+            if rnd.random() < 0.3:
+                w = w.upper()
+            t += w + rnd.choice(seps)
+        texts.append(t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = {r.id: r for r in inj.with_injection(df, "text").select("id", "injection.*").collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r.detected, r.confidence, r.type, r.reason) == jsref.injection(t), repr(t)
+        hits += r.detected
+    assert hits > 300
+
+
+def test_topic_escape_option(spark):
+    df = spark.createDataFrame([("price (usd) list",), ("price usd list",)], "t string")
+    live = [r.p for r in df.select(outf.topic_reason(F.col("t"), ["price (usd)"]).alias("p")).collect()]
+    esc = [r.p for r in df.select(outf.topic_reason(F.col("t"), ["price (usd)"], escape=True).alias("p")).collect()]
+    # live regex: the parentheses group, so "price usd" matches and "(usd)" does not
+    assert live == [None, 'Output discusses blocked topic: "price (usd)"']
+    # escaped: literal parentheses; the trailing \b after ")" needs a word character next
+    assert esc == [None, None]
