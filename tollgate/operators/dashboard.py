@@ -74,19 +74,21 @@ def blocked_by_counts(log: DataFrame) -> DataFrame:
 
 
 def title_label(t: Column) -> Column:
-    """A5: underscores to spaces, first letter of each ASCII word upper-case
-    (the rest unchanged)."""
+    """A5: underscores to spaces, then every ASCII word character that
+    follows a non-word character (or starts the text) upper-cased, i.e.
+    ``\\b\\w`` with an ASCII word class. Labels are a handful of
+    characters, so a per-character transform is cheap."""
     spaced = F.translate(t, "_", " ")
-    words = F.split(spaced, " ", -1)
-    cap = F.transform(
-        words,
-        lambda w: F.concat(
-            F.when(F.substr(w, F.lit(1), F.lit(1)).rlike("^[a-z]$"), F.upper(F.substr(w, F.lit(1), F.lit(1))))
-            .otherwise(F.substr(w, F.lit(1), F.lit(1))),
-            F.substr(w, F.lit(2)),
-        ),
+    chars = F.split(spaced, "", -1)
+    up = F.transform(
+        chars,
+        lambda c, i: F.when(
+            ((i == 0) | ~F.coalesce(F.get(chars, i - 1).rlike("^[A-Za-z0-9_]$"), F.lit(False)))
+            & c.rlike("^[a-z]$"),
+            F.upper(c),
+        ).otherwise(c),
     )
-    return F.array_join(cap, " ")
+    return F.when(spaced == "", spaced).otherwise(F.array_join(up, ""))
 
 
 def blocked_by_chart(log: DataFrame) -> DataFrame:

@@ -176,10 +176,12 @@ def to_fixed_1_sql(x: str) -> str:
 
 
 def title_label_sql(x: str) -> str:
+    s = f"replace({x}, '_', ' ')"
     return (
-        f"array_to_string(list_transform(string_split(replace({x}, '_', ' '), ' '), "
-        f"lambda w: CASE WHEN regexp_matches(substring(w, 1, 1), '^[a-z]$') THEN upper(substring(w, 1, 1)) "
-        f"ELSE substring(w, 1, 1) END || substring(w, 2)), ' ')"
+        f"array_to_string(list_transform(range(1, length({s}) + 1), lambda i: "
+        f"CASE WHEN (i = 1 OR NOT regexp_matches(substring({s}, i - 1, 1), '^[A-Za-z0-9_]$')) "
+        f"AND regexp_matches(substring({s}, i, 1), '^[a-z]$') THEN upper(substring({s}, i, 1)) "
+        f"ELSE substring({s}, i, 1) END), '')"
     )
 
 
