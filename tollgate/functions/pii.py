@@ -146,19 +146,30 @@ def _spans_for(p: PiiPattern, matches: Column, gaps: Column) -> Column:
     return spans
 
 
+# Above this many matches of one pattern in one row, offsets come from block
+# prefix sums rather than the single fold.
+BIG_ROW = 64
+
+
 def with_pii(
     df: DataFrame,
     text: str = "text",
     out: str = "pii",
     patterns: Sequence[PiiPattern] = PII_PATTERNS,
     enabled: Column | None = None,
+    parts: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the ordered span list ``array<struct<type,label,value,
     start,end>>`` over all patterns, pattern order first, then position.
 
     ``enabled`` (optional boolean column) turns detection off per row, as
     the library profile does for a disabled PII rule; the regexes are not
-    run on such rows."""
+    run on such rows.
+
+    ``parts`` (optional column name) also keeps, for the linear-time mask,
+    every span sorted by start with the text before and after it within its
+    own pattern's split (``pii_mask(..., parts=...)``); only for detectors
+    whose spans are the raw matches (no trim, no digit floor)."""
     t = F.col(text)
     pats = list(patterns)
     gate_cols, tokens = _gates(t, pats)
@@ -183,21 +194,80 @@ def with_pii(
     stage2 = {}
     for i, p in enumerate(pats):
         name = f"__pg{i}"
-        stage2[name] = F.when(
+        # fenced: read inside lambdas below, so it must never be inlined
+        stage2[name] = fence(F.when(
             F.size(F.col(m_cols[i])) > 0, F.split(t, java_pattern(p), -1)
-        )
+        ))
         g_cols.append(name)
     df2 = df1.withColumns(stage2)
-    parts = [
-        F.expr(_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))) if _plain(p)
+    # Rows with many matches of a pattern get their offsets from block
+    # prefix sums (materialised stage by stage, so no lambda re-evaluates
+    # an array): O(n^1.5) instead of the fold's O(n^2) array growth.
+    plain_idx = [i for i, p in enumerate(pats) if _plain(p)]
+    big = {i: f"size({ident(m_cols[i])}) > {BIG_ROW}" for i in plain_idx}
+    if plain_idx:
+        blk = {i: f"cast(ceil(sqrt(size({ident(m_cols[i])}))) as int)" for i in plain_idx}
+        df2 = df2.withColumns({
+            f"__pl{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, "
+                               f"(_v, _j) -> length(get({ident(g_cols[i])}, _j)) + length(_v)) END"))
+            for i in plain_idx
+        })
+        df2 = df2.withColumns({
+            f"__pb{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform(sequence(0, cast(ceil(size(`__pl{i}`) / {blk[i]}) as int) - 1), "
+                               f"_b -> aggregate(slice(`__pl{i}`, _b * {blk[i]} + 1, {blk[i]}), 0, (_s, _x) -> _s + _x)) END"))
+            for i in plain_idx
+        })
+        df2 = df2.withColumns({
+            f"__pp{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform(sequence(0, size(`__pb{i}`) - 1), "
+                               f"_b -> aggregate(slice(`__pb{i}`, 1, _b), 0, (_s, _x) -> _s + _x)) END"))
+            for i in plain_idx
+        })
+        df2 = df2.withColumns({
+            f"__pt{i}": fence(F.expr(
+                f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, (_v, _j) -> "
+                f"get(`__pp{i}`, _j div {blk[i]}) + aggregate(slice(`__pl{i}`, (_j div {blk[i]}) * {blk[i]} + 1, "
+                f"_j - (_j div {blk[i]}) * {blk[i]}), 0, (_s, _x) -> _s + _x) + length(get({ident(g_cols[i])}, _j))) END"))
+            for i in plain_idx
+        }).drop(*[f"__{k}{i}" for i in plain_idx for k in ("pl", "pb", "pp")])
+    folds = [
+        F.expr(
+            f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, (_v, _j) -> named_struct("
+            f"'type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', _v, "
+            f"'start', get(`__pt{i}`, _j), 'end', get(`__pt{i}`, _j) + length(_v))) "
+            f"ELSE {_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))} END"
+        ) if _plain(p)
         else _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i]))
         for i, p in enumerate(pats)
     ]
-    spans = F.concat(*parts) if len(parts) > 1 else parts[0]
+    t_cols = [f"__pt{i}" for i in plain_idx]
+    empty = F.array().cast(SPANS_TYPE)
+    if parts is not None and all(_plain(p) for p in pats):
+        # per-pattern spans materialised once, then both outputs read them
+        s_cols = [f"__ps{i}" for i in range(len(pats))]
+        df3 = df2.withColumns({
+            s_cols[i]: fence(F.when(F.size(F.col(m_cols[i])) > 0, folds[i].cast(SPANS_TYPE)).otherwise(empty))
+            for i in range(len(pats))
+        })
+        spans = F.concat(*[F.col(c) for c in s_cols]) if len(s_cols) > 1 else F.col(s_cols[0])
+        part_lists = ", ".join(
+            f"transform({ident(s_cols[i])}, (_s, _j) -> named_struct('start', _s.start, 'end', _s.end, "
+            f"'label', _s.label, 'pidx', {i}, 'value', _s.value, 'pre', get({ident(g_cols[i])}, _j), "
+            f"'post', get({ident(g_cols[i])}, _j + 1)))"
+            for i in range(len(pats))
+        )
+        ordered = F.expr(
+            f"array_sort(concat({part_lists}), (_l, _r) -> CASE WHEN _l.start < _r.start THEN -1 "
+            f"WHEN _l.start > _r.start THEN 1 WHEN _l.pidx < _r.pidx THEN -1 WHEN _l.pidx > _r.pidx THEN 1 ELSE 0 END)"
+        )
+        return df3.withColumns({out: fence(spans), parts: fence(ordered)}).drop(*m_cols, *g_cols, *s_cols, *t_cols)
+    spans = F.concat(*folds) if len(folds) > 1 else folds[0]
     # Most rows match nothing: skip the (interpreted) span building there.
     any_match = F.expr(" OR ".join(f"size({ident(c)}) > 0" for c in m_cols))
-    spans = F.when(any_match, spans.cast(SPANS_TYPE)).otherwise(F.array().cast(SPANS_TYPE))
-    return df2.withColumn(out, fence(spans)).drop(*m_cols, *g_cols)
+    spans = F.when(any_match, spans.cast(SPANS_TYPE)).otherwise(empty)
+    out_df = df2.withColumn(out, fence(spans)).drop(*m_cols, *g_cols, *t_cols)
+    if parts is not None:  # custom detectors: no linear path, the fold masks
+        out_df = out_df.withColumn(parts, F.lit(None))
+    return out_df
 
 
 _MASK_ORDER = {
@@ -223,6 +293,63 @@ def _mask_sql(text: str, spans: str, mode: str) -> str:
     return f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE {text} END"
 
 
+def with_mask(df: DataFrame, text: str, spans: str, parts: str, out: str,
+              when: Column | None = None) -> DataFrame:
+    """The reference mask in time linear in the text (plus n log n in the
+    spans) for the usual rows, the exact right-to-left fold otherwise.
+
+    Spans (``parts``: sorted by start, with their values and the text
+    before/after them within their own pattern's split) fall into runs of
+    consecutive overlapping spans. With span ends non-decreasing, runs are
+    independent: each run is folded right to left, exactly as specified, on
+    its own small string -- the run's text plus the text up to the next run
+    -- and the results are joined after the text before the first span.
+    When ends are not monotone (nested spans) or a cut in a run would
+    reach past its local string (a label much shorter than an overlap), the
+    row takes the whole-text fold of ``pii_mask``. ``when`` limits the work
+    to rows that need a mask (others get null)."""
+    P, S, T = ident(parts), ident(spans), ident(text)
+    gate = when if when is not None else F.lit(True)
+    n = f"size({P})"
+    mono = f"({n} <= 1 OR forall(sequence(1, {n} - 1), _k -> get({P}, _k).end >= get({P}, _k - 1).end))"
+    starts = f"filter(sequence(0, {n} - 1), _k -> _k = 0 OR get({P}, _k).start >= get({P}, _k - 1).end)"
+    st1 = df.withColumns({
+        "__m_ok": F.when(gate & F.expr(f"{P} IS NOT NULL AND {n} > 0"), F.expr(mono)),
+        "__m_gs": fence(F.when(gate & F.expr(f"{P} IS NOT NULL AND {n} > 0"), F.expr(starts))),
+    })
+    # one run: slice of parts, its local string, its right-to-left fold
+    run = (
+        "transform(`__m_gs`, (_k0, _gi) -> named_struct('k0', _k0, "
+        f"'k1', coalesce(get(`__m_gs`, _gi + 1), {n})))"
+    )
+    local = (
+        f"transform({run}, _g -> named_struct('sp', slice({P}, _g.k0 + 1, _g.k1 - _g.k0), 'k1', _g.k1))"
+    )
+    folded = (
+        f"transform({local}, _r -> aggregate("
+        f"array_sort(_r.sp, (_l, _q) -> CASE WHEN _l.start > _q.start THEN -1 WHEN _l.start < _q.start THEN 1 "
+        f"WHEN _l.pidx < _q.pidx THEN -1 WHEN _l.pidx > _q.pidx THEN 1 ELSE 0 END), "
+        # local string: the run's text (values chained past the previous end) plus the gap to the next run
+        f"named_struct('s', concat("
+        f"aggregate(slice(_r.sp, 2, size(_r.sp)), named_struct('t', get(_r.sp, 0).value, 'e', get(_r.sp, 0).end), "
+        f"(_a, _y) -> named_struct('t', concat(_a.t, substr(_y.value, _a.e - _y.start + 1)), 'e', _y.end), _a -> _a.t), "
+        f"CASE WHEN _r.k1 = {n} THEN get(_r.sp, size(_r.sp) - 1).post "
+        f"ELSE substr(get(_r.sp, size(_r.sp) - 1).post, 1, get({P}, _r.k1).start - get(_r.sp, size(_r.sp) - 1).end) END), "
+        f"'a', get(_r.sp, 0).start, 'ovf', false), "
+        f"(_c, _m) -> named_struct('s', concat(substr(_c.s, 1, _m.start - _c.a), '[', _m.label, ']', "
+        f"substr(_c.s, _m.end - _c.a + 1)), 'a', _c.a, 'ovf', _c.ovf OR (_m.end - _c.a > length(_c.s)))))"
+    )
+    st2 = st1.withColumn("__m_runs", fence(F.when(F.col("__m_ok") == F.lit(True), F.expr(folded))))
+    linear = f"concat(get({P}, 0).pre, array_join(transform(`__m_runs`, _z -> _z.s), ''))"
+    exact = _mask_sql(T, S, "reference")
+    masked = (
+        f"CASE WHEN size({S}) = 0 THEN {T} "
+        f"WHEN `__m_runs` IS NOT NULL AND NOT exists(`__m_runs`, _z -> _z.ovf) THEN {linear} "
+        f"ELSE {exact} END"
+    )
+    return st2.withColumn(out, F.when(gate, F.expr(masked))).drop("__m_ok", "__m_gs", "__m_runs")
+
+
 def pii_mask(text: Column | str, spans: Column | str, mode: str = "reference") -> Column:
     """Replace spans by ``[label]``.
 

@@ -37,6 +37,7 @@ from ..functions.rules import (
 from .policy import DEFAULT_POLICY, Policy, default_action, enabled_col
 
 PROFILES = ("live", "library", "suite")
+_PARTS = "__pii_parts"  # internal: spans with their neighbouring text, for the linear mask
 
 
 def _lit_str(s: str | None) -> Column:
@@ -73,7 +74,8 @@ def screen_input(
         if ov is None and not (pii_rule and pii_rule.enabled):
             staged = df.withColumn("pii", F.array().cast(piif.SPANS_TYPE))
         else:
-            staged = piif.with_pii(df, text, "pii", pii_patterns, enabled=pii_on if ov is not None else None)
+            staged = piif.with_pii(df, text, "pii", pii_patterns, enabled=pii_on if ov is not None else None,
+                                   parts=_PARTS)
         if ov is None and not (inj_rule and inj_rule.enabled):
             staged = staged.withColumn(
                 "injection_hits", F.array().cast("array<struct<type:string,reason:string>>")
@@ -81,7 +83,7 @@ def screen_input(
         else:
             staged = inj.with_injection(staged, text, "injection", injection_rules, enabled=inj_on if ov is not None else None)
     else:
-        staged = piif.with_pii(df, text, "pii", pii_patterns)
+        staged = piif.with_pii(df, text, "pii", pii_patterns, parts=_PARTS if profile != "suite" else None)
         staged = inj.with_injection(staged, text, "injection", injection_rules)
 
     pii = F.col("pii")
@@ -145,12 +147,16 @@ def screen_input(
     decided = staged.withColumns(
         {"input_status": status, "blocked_by": blocked_by.cast("string"), "reason": reason.cast("string")}
     )
-    masked = F.when(
-        F.col("input_status") == "modified", piif.pii_mask(text, "pii", mask_mode)
-    ) if profile != "suite" else _lit_str(None)
-    return decided.withColumn("masked_input", masked).withColumn(
-        "processed_input", F.coalesce(F.col("masked_input"), F.col(text))
-    )
+    has_parts = _PARTS in decided.columns
+    modified = F.col("input_status") == "modified"
+    if profile == "suite":
+        out = decided.withColumn("masked_input", _lit_str(None))
+    elif has_parts and mask_mode == "reference":
+        out = piif.with_mask(decided, text, "pii", _PARTS, "masked_input", when=modified)
+    else:
+        out = decided.withColumn("masked_input", F.when(modified, piif.pii_mask(text, "pii", mask_mode)))
+    out = out.withColumn("processed_input", F.coalesce(F.col("masked_input"), F.col(text)))
+    return out.drop(_PARTS) if has_parts else out
 
 
 def screen_output(

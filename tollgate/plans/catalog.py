@@ -126,8 +126,8 @@ register("pii_custom", O.spans_sql(PAGES_SQL, "page_id", "html", list(PII_PATTER
 
 @register("pii_mask", O.mask_sql(SEEDED_SQL, "doc_id", "text"))
 def q_pii_mask(spark, sf):
-    df = piif.with_pii(seeded_docs(spark, sf), "text", "pii")
-    return df.select("doc_id", piif.pii_mask(F.col("text"), F.col("pii")).alias("masked"))
+    df = piif.with_pii(seeded_docs(spark, sf), "text", "pii", parts="__parts")
+    return piif.with_mask(df, "text", "pii", "__parts", "masked").select("doc_id", "masked")
 
 
 @register(
