@@ -93,7 +93,6 @@ def test_policy_from_table(spark):
 
 
 def test_stream_equals_batch(spark):
-    from tollgate.plans.catalog import q_input_verdict  # noqa: F401 (import check)
     from tollgate.streaming.screen import stream_screen
     from tollgate.operators.verdict import screen_input
 

@@ -26,7 +26,7 @@ from ..functions.rules import (
 )
 from ..operators import audit, dashboard
 from ..operators.pairs import conversation_pairs, keyword_route, response_join, screen_requests
-from ..operators.policy import DEFAULT_POLICY, Rule
+from ..operators.policy import DEFAULT_POLICY
 from ..operators.verdict import display_status, screen_input, screen_output
 from ..sources.seeds import seeded, seeded_sql
 from ..sources.tables import audit_log_from_events, balanced, read_table, valid_requests
