@@ -124,3 +124,14 @@ def test_long_rows_match_reference(spark):
         got = [(s.type, s.label, s.value, s.start, s.end) for s in rows[i].pii]
         assert got == want
         assert rows[i].masked_input == jsref.mask(t, want)
+
+
+def test_long_row_custom_pattern(spark):
+    pats = list(PII_PATTERNS) + [custom_pii_pattern("badge", "Badge", r"\s*BADGE-\d+\s*"),
+                                 custom_pii_pattern("phone", "Phone Number", r"#\d{3,12}")]
+    t = " ".join(f"id  BADGE-{i}  ref #{i:07d} #{i % 100}" for i in range(150))
+    rows = _spans(spark, [t], pats)
+    want = jsref.spans(t, pats)
+    assert len([w for w in want if w[0] == "badge"]) > 64
+    assert [(s.type, s.value, s.start, s.end) for s in rows[0].pii] == [(a, c, d, e) for (a, b, c, d, e) in want]
+    assert rows[0].m == jsref.mask(t, want)

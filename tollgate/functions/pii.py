@@ -151,6 +151,24 @@ def _spans_for(p: PiiPattern, matches: Column, gaps: Column) -> Column:
 BIG_ROW = 64
 
 
+def _spans_from_starts(p: PiiPattern, matches: Column, starts: Column) -> Column:
+    """Spans of a custom detector from precomputed (materialised) starts:
+    trimmed values, ends from the trimmed length, then the digit floor."""
+    def one(v: Column, j: Column) -> Column:
+        val = F.regexp_replace(v, _JS_TRIM, "") if p.may_pad else v
+        start = F.get(starts, j)
+        return F.struct(
+            F.lit(p.type).alias("type"), F.lit(p.label).alias("label"), val.alias("value"),
+            start.cast("int").alias("start"), (start + F.length(val)).cast("int").alias("end"),
+        )
+
+    spans = F.transform(matches, one)
+    if p.min_digits is not None and not p.floor_implied:
+        n = p.min_digits
+        spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["value"], r"[^0-9]", "")) >= n)
+    return spans
+
+
 def with_pii(
     df: DataFrame,
     text: str = "text",
@@ -203,7 +221,7 @@ def with_pii(
     # Rows with many matches of a pattern get their offsets from block
     # prefix sums (materialised stage by stage, so no lambda re-evaluates
     # an array): O(n^1.5) instead of the fold's O(n^2) array growth.
-    plain_idx = [i for i, p in enumerate(pats) if _plain(p)]
+    plain_idx = list(range(len(pats)))  # every detector: offsets come from the raw matches
     big = {i: f"size({ident(m_cols[i])}) > {BIG_ROW}" for i in plain_idx}
     if plain_idx:
         blk = {i: f"cast(ceil(sqrt(size({ident(m_cols[i])}))) as int)" for i in plain_idx}
@@ -236,7 +254,8 @@ def with_pii(
             f"'start', get(`__pt{i}`, _j), 'end', get(`__pt{i}`, _j) + length(_v))) "
             f"ELSE {_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))} END"
         ) if _plain(p)
-        else _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i]))
+        else F.when(F.expr(big[i]), _spans_from_starts(p, F.col(m_cols[i]), F.col(f"__pt{i}")))
+        .otherwise(_spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])))
         for i, p in enumerate(pats)
     ]
     t_cols = [f"__pt{i}" for i in plain_idx]
