@@ -151,22 +151,27 @@ def _spans_for(p: PiiPattern, matches: Column, gaps: Column) -> Column:
 BIG_ROW = 64
 
 
-def _spans_from_starts(p: PiiPattern, matches: Column, starts: Column) -> Column:
-    """Spans of a custom detector from precomputed (materialised) starts:
-    trimmed values, ends from the trimmed length, then the digit floor."""
-    def one(v: Column, j: Column) -> Column:
-        val = F.regexp_replace(v, _JS_TRIM, "") if p.may_pad else v
-        start = F.get(starts, j)
-        return F.struct(
-            F.lit(p.type).alias("type"), F.lit(p.label).alias("label"), val.alias("value"),
-            start.cast("int").alias("start"), (start + F.length(val)).cast("int").alias("end"),
-        )
-
-    spans = F.transform(matches, one)
-    if p.min_digits is not None and not p.floor_implied:
-        n = p.min_digits
-        spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["value"], r"[^0-9]", "")) >= n)
-    return spans
+def _big_spans_sql(p: PiiPattern, m: str, g: str) -> str:
+    """Spans for a row with many matches: one fold over blocks of about
+    sqrt(n) matches; each block's offsets are the running offset plus a
+    short in-block sum. Only the match and gap columns are read inside the
+    lambdas, so nothing is re-evaluated per element: O(n^1.5) array work
+    instead of the single fold's O(n^2)."""
+    B = f"cast(ceil(sqrt(size({m}))) as int)"
+    step = f"(length(get({g}, _i)) + length(get({m}, _i)))"
+    blk_end = f"least(size({m}), _b * {B} + {B}) - 1"
+    start = (f"(_a.pos + CASE WHEN _j > _b * {B} THEN aggregate(sequence(_b * {B}, _j - 1), 0, "
+             f"(_s, _i) -> _s + {step}) ELSE 0 END + length(get({g}, _j)))")
+    span = (f"named_struct('type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', get({m}, _j), "
+            f"'start', cast({start} as int), 'end', cast({start} + length(get({m}, _j)) as int))")
+    return (
+        f"aggregate(sequence(0, cast(ceil(size({m}) / {B}) as int) - 1), "
+        f"named_struct('pos', 0, 'sp', cast(array() as {SPANS_TYPE})), "
+        f"(_a, _b) -> named_struct("
+        f"'pos', _a.pos + aggregate(sequence(_b * {B}, {blk_end}), 0, (_s, _i) -> _s + {step}), "
+        f"'sp', concat(_a.sp, transform(sequence(_b * {B}, {blk_end}), _j -> {span}))), "
+        f"_a -> _a.sp)"
+    )
 
 
 def with_pii(
@@ -218,47 +223,15 @@ def with_pii(
         ))
         g_cols.append(name)
     df2 = df1.withColumns(stage2)
-    # Rows with many matches of a pattern get their offsets from block
-    # prefix sums (materialised stage by stage, so no lambda re-evaluates
-    # an array): O(n^1.5) instead of the fold's O(n^2) array growth.
-    plain_idx = list(range(len(pats)))  # every detector: offsets come from the raw matches
-    big = {i: f"size({ident(m_cols[i])}) > {BIG_ROW}" for i in plain_idx}
-    if plain_idx:
-        blk = {i: f"cast(ceil(sqrt(size({ident(m_cols[i])}))) as int)" for i in plain_idx}
-        df2 = df2.withColumns({
-            f"__pl{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, "
-                               f"(_v, _j) -> length(get({ident(g_cols[i])}, _j)) + length(_v)) END"))
-            for i in plain_idx
-        })
-        df2 = df2.withColumns({
-            f"__pb{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform(sequence(0, cast(ceil(size(`__pl{i}`) / {blk[i]}) as int) - 1), "
-                               f"_b -> aggregate(slice(`__pl{i}`, _b * {blk[i]} + 1, {blk[i]}), 0, (_s, _x) -> _s + _x)) END"))
-            for i in plain_idx
-        })
-        df2 = df2.withColumns({
-            f"__pp{i}": fence(F.expr(f"CASE WHEN {big[i]} THEN transform(sequence(0, size(`__pb{i}`) - 1), "
-                               f"_b -> aggregate(slice(`__pb{i}`, 1, _b), 0, (_s, _x) -> _s + _x)) END"))
-            for i in plain_idx
-        })
-        df2 = df2.withColumns({
-            f"__pt{i}": fence(F.expr(
-                f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, (_v, _j) -> "
-                f"get(`__pp{i}`, _j div {blk[i]}) + aggregate(slice(`__pl{i}`, (_j div {blk[i]}) * {blk[i]} + 1, "
-                f"_j - (_j div {blk[i]}) * {blk[i]}), 0, (_s, _x) -> _s + _x) + length(get({ident(g_cols[i])}, _j))) END"))
-            for i in plain_idx
-        }).drop(*[f"__{k}{i}" for i in plain_idx for k in ("pl", "pb", "pp")])
-    folds = [
-        F.expr(
-            f"CASE WHEN {big[i]} THEN transform({ident(m_cols[i])}, (_v, _j) -> named_struct("
-            f"'type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', _v, "
-            f"'start', get(`__pt{i}`, _j), 'end', get(`__pt{i}`, _j) + length(_v))) "
-            f"ELSE {_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))} END"
-        ) if _plain(p)
-        else F.when(F.expr(big[i]), _spans_from_starts(p, F.col(m_cols[i]), F.col(f"__pt{i}")))
-        .otherwise(_spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])))
-        for i, p in enumerate(pats)
-    ]
-    t_cols = [f"__pt{i}" for i in plain_idx]
+    big = {i: f"size({ident(m_cols[i])}) > {BIG_ROW}" for i in range(len(pats))}
+    def fold(i: int, p: PiiPattern) -> Column:
+        if _plain(p):
+            m, g = ident(m_cols[i]), ident(g_cols[i])
+            return F.expr(f"CASE WHEN {big[i]} THEN {_big_spans_sql(p, m, g)} ELSE {_spans_sql(p, m, g)} END")
+        return _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i]))
+
+    folds = [fold(i, p) for i, p in enumerate(pats)]
+    t_cols: list[str] = []
     empty = F.array().cast(SPANS_TYPE)
     if parts is not None and all(_plain(p) for p in pats):
         # per-pattern spans materialised once, then both outputs read them
