@@ -152,19 +152,21 @@ BIG_ROW = 64
 
 
 def _big_spans_sql(p: PiiPattern, m: str, g: str) -> str:
-    """Spans for a row with many matches: one fold over blocks of about
+    """Spans for a row with many matches (any detector): one fold over blocks of about
     sqrt(n) matches; each block's offsets are the running offset plus a
     short in-block sum. Only the match and gap columns are read inside the
     lambdas, so nothing is re-evaluated per element: O(n^1.5) array work
     instead of the single fold's O(n^2)."""
     B = f"cast(ceil(sqrt(size({m}))) as int)"
     step = f"(length(get({g}, _i)) + length(get({m}, _i)))"
+    # a custom detector's value is the trimmed match; its start stays the raw one
+    val = (f"regexp_replace(get({m}, _j), {sql_str(_JS_TRIM)}, '')" if p.may_pad else f"get({m}, _j)")
     blk_end = f"least(size({m}), _b * {B} + {B}) - 1"
     start = (f"(_a.pos + CASE WHEN _j > _b * {B} THEN aggregate(sequence(_b * {B}, _j - 1), 0, "
              f"(_s, _i) -> _s + {step}) ELSE 0 END + length(get({g}, _j)))")
-    span = (f"named_struct('type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', get({m}, _j), "
-            f"'start', cast({start} as int), 'end', cast({start} + length(get({m}, _j)) as int))")
-    return (
+    span = (f"named_struct('type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', {val}, "
+            f"'start', cast({start} as int), 'end', cast({start} + length({val}) as int))")
+    body = (
         f"aggregate(sequence(0, cast(ceil(size({m}) / {B}) as int) - 1), "
         f"named_struct('pos', 0, 'sp', cast(array() as {SPANS_TYPE})), "
         f"(_a, _b) -> named_struct("
@@ -172,6 +174,9 @@ def _big_spans_sql(p: PiiPattern, m: str, g: str) -> str:
         f"'sp', concat(_a.sp, transform(sequence(_b * {B}, {blk_end}), _j -> {span}))), "
         f"_a -> _a.sp)"
     )
+    if p.min_digits is not None and not p.floor_implied:
+        body = f"filter({body}, _f -> length(regexp_replace(_f.value, '[^0-9]', '')) >= {int(p.min_digits)})"
+    return body
 
 
 def with_pii(
@@ -228,7 +233,8 @@ def with_pii(
         if _plain(p):
             m, g = ident(m_cols[i]), ident(g_cols[i])
             return F.expr(f"CASE WHEN {big[i]} THEN {_big_spans_sql(p, m, g)} ELSE {_spans_sql(p, m, g)} END")
-        return _spans_for(p, F.col(m_cols[i]), F.col(g_cols[i]))
+        big_c = F.expr(_big_spans_sql(p, ident(m_cols[i]), ident(g_cols[i])))
+        return F.when(F.expr(big[i]), big_c).otherwise(_spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])))
 
     folds = [fold(i, p) for i, p in enumerate(pats)]
     t_cols: list[str] = []
