@@ -84,3 +84,27 @@ def test_audit_shapes(spark):
     assert rows["c"].pii_found is not None
     assert (rows["d"].direction, rows["d"].status, rows["d"].blocked_by) == ("input", "blocked", "prompt_injection")
     assert (rows["e"].status, rows["e"].blocked_by, rows["e"].output_text) == ("blocked", "toxicity", None)
+
+
+def test_request_validation(spark):
+    from tollgate.sources.tables import rejected_requests, valid_requests
+
+    df = spark.createDataFrame([("a", "hello"), ("b", ""), ("c", None), ("d", "   ")], "request_id string, input string")
+    assert {r.request_id for r in valid_requests(df).collect()} == {"a", "d"}      # whitespace passes
+    assert {r.request_id for r in valid_requests(df, strict=True).collect()} == {"a"}
+    rej = {r.request_id: r.error for r in rejected_requests(df).collect()}
+    assert rej == {"b": "Input text is required.", "c": "Input text is required."}
+
+
+def test_daily_window_inclusive_and_grains(spark):
+    import datetime as dt
+
+    as_of = dt.datetime(2024, 1, 31)
+    stamps = [as_of - dt.timedelta(days=7), as_of - dt.timedelta(days=7, microseconds=1),
+              as_of - dt.timedelta(days=1), as_of - dt.timedelta(days=1)]
+    log = _log(spark, [(f"i{i}", f"r{i}", "input", "x", None, "allowed", None, None, 1, None, ts)
+                       for i, ts in enumerate(stamps)])
+    day = {r.day: r["count"] for r in dashboard.daily_counts(log, F.lit(as_of)).collect()}
+    assert day == {"2024-01-24": 1, "2024-01-30": 2}
+    exact = {r.created_at: r["count"] for r in dashboard.daily_counts(log, F.lit(as_of), grain="exact").collect()}
+    assert exact == {"2024-01-24 00:00:00.000000": 1, "2024-01-30 00:00:00.000000": 2}
