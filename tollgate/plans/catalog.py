@@ -134,7 +134,7 @@ def q_pii_mask(spark, sf):
     "pii_json",
     f"""WITH src AS ({SEEDED_SQL}), sp AS ({O.spans_sql(SEEDED_SQL, 'doc_id', 'text')}),
     j AS (SELECT doc_id, to_json(list({{'type': type, 'label': label, 'value': value, 'start': start::INTEGER,
-                 'end': "end"::INTEGER}} ORDER BY pos)) AS pii_found FROM sp GROUP BY doc_id)
+                 'end': "end"::INTEGER}} ORDER BY pos))::VARCHAR AS pii_found FROM sp GROUP BY doc_id)
     SELECT src.doc_id, j.pii_found FROM src LEFT JOIN j ON src.doc_id = j.doc_id""",
 )
 def q_pii_json(spark, sf):
