@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -46,9 +47,10 @@ by_value(__name__)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-MAX_STATES = 200_000
-MAX_ADJACENT = 400_000
-MAX_CHUNKS = 400_000
+STATE, END = -1, -2
+MAX_STATES = 300_000
+MAX_ADJACENT = 600_000
+MAX_CHUNKS = 500_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -78,11 +80,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
+        """Forget all states but the first. A state is its transitions,
+        {byte: (next state, tokens emitted)}; under STATE it keeps its live
+        boundaries, under END what the end of the match emits."""
         start = (((), None, 0),)
-        self.states: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.ends: list[tuple[int, ...] | None] = [()]
+        self.start: dict = {STATE: start, END: ()}
+        self.states: dict[tuple, dict] = {start: self.start}
 
     def _merged(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost first, over the bytes of a few tokens."""
@@ -111,21 +114,12 @@ class Transducer:
             got = self.adjacent[key] = self._merged(before + self.tokens[token]) == want
         return got
 
-    def _number(self, state: tuple, end: tuple[int, ...]) -> int:
-        at = self.number.get(state)
-        if at is None:
-            at = self.number[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-            self.ends.append(end)
-        return at
-
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, boundaries: tuple, byte: int) -> tuple[dict, tuple[int, ...]]:
         """The transition of a state on a byte: next state, tokens emitted."""
         below, token_at, adjacent = self.below, self.token_at, self.adjacent
         live = []
         fresh = None
-        for pending, last, node in self.states[at]:
+        for pending, last, node in boundaries:
             nxt = below[node].get(byte)
             if nxt is None:
                 continue
@@ -147,7 +141,11 @@ class Transducer:
             agreed += 1
         if agreed:
             live = [(p[agreed:], last, node) for p, last, node in live]
-        return self._number(tuple(live), live[-1][0]), first[:agreed]
+        key = tuple(live)
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = {STATE: key, END: live[-1][0]}
+        return state, first[:agreed]
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -156,15 +154,15 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self._reset()
         out: list[int] = []
-        moves, at = self.moves, 0
+        state = self.start
         for byte in data:
-            step = moves[at].get(byte)
+            step = state.get(byte)
             if step is None:
-                step = moves[at][byte] = self._move(at, byte)
-            at = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.ends[at])
+                step = state[byte] = self._move(state[STATE], byte)
+            state, emitted = step
+            if emitted:
+                out += emitted
+        out += state[END]
         return out
 
 
@@ -207,12 +205,15 @@ class ByteBpe:
     def __init__(self, content: bytes, pattern: str = PATTERN):
         store = worker_store(f"byte-bpe-{zlib.crc32(content)}-{pattern}")
         if not store:
+            gc.set_threshold(200_000, 20, 100)  # the tables hold many small objects and no cycles
             machine = Transducer(read_ranks(content))
             find = regex.compile(pattern).findall
 
             def ids(chunk: str) -> tuple[int, ...]:
                 if len(chunk) > 2 and chunk[-1] in CLOSING and chunk[1:-1].isalpha():
                     return chunks[chunk[:-1]] + chunks[chunk[-1]]
+                if (chunk if chunk[0] != " " else chunk[1:]).isalpha():
+                    return tuple(machine.encode(chunk.encode("utf-8")))
                 return tuple(chain.from_iterable(machine.encode(m.encode("utf-8")) for m in find(chunk)))
 
             chunks = Chunks(ids)
