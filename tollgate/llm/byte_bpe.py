@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
 import gc
 import hashlib
 import zlib
@@ -166,15 +167,30 @@ class Transducer:
         return out
 
 
+def whole_tokens(tokens: dict[int, bytes]) -> dict[int, str]:
+    """Text of the tokens that leave the state machine where it started."""
+    out = {}
+    for i, raw in tokens.items():
+        with contextlib.suppress(UnicodeDecodeError):
+            out[i] = raw.decode("utf-8")
+    return out
+
+
 class Decoder:
     """Incremental UTF-8: ``feed`` takes token ids and gives finished text."""
 
-    def __init__(self, tokens: dict[int, bytes], steps: dict | None = None):
+    def __init__(self, tokens: dict[int, bytes], steps: dict | None = None, whole: dict | None = None):
         self.tokens = tokens
         self.steps = {} if steps is None else steps
+        self.whole = whole_tokens(tokens) if whole is None else whole
         self.held = b""
 
     def feed(self, ids: Iterable[int]) -> Iterator[str]:
+        if not self.held:  # a run of tokens that start and end with whole characters
+            run = list(map(self.whole.get, ids := list(ids)))
+            if None not in run:
+                yield "".join(run)
+                return
         held, steps = self.held, self.steps
         for i in ids:
             step = steps.get((held, i))
@@ -218,7 +234,8 @@ class ByteBpe:
 
             chunks = Chunks(ids)
             matches = Chunks(lambda m: tuple(machine.encode(m.encode("utf-8"))))
-            store.update(machine=machine, find=find, chunks=chunks, matches=matches, steps={})
+            store.update(machine=machine, find=find, chunks=chunks, matches=matches, steps={},
+                         whole=whole_tokens(machine.tokens), names={i: str(i) for i in machine.tokens})
         self.__dict__.update(store)
 
     def encode(self, text: str) -> list[int]:
@@ -235,15 +252,20 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> str:
         if len(self.steps) > MAX_CHUNKS:
             self.steps.clear()
-        decoder = Decoder(self.machine.tokens, self.steps)
+        decoder = Decoder(self.machine.tokens, self.steps, self.whole)
         return "".join(decoder.feed(ids)) + decoder.finish()
 
 
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids joined by one space."""
+        return " ".join(map(self.names.__getitem__, ids))
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS,
                pattern: str = PATTERN) -> DataFrame:
     """``id_col, ids, decoded``: token ids of each whole text and the text
     that the ids decode to."""
-    return _coded(docs, id_col, text_col, ranks_path, pattern, lambda b, ids, text: (
+    return _coded(docs, id_col, text_col, ranks_path, pattern, lambda coder, ids, text: (
         [pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())], ["ids", "decoded"]),
         [("ids", "array<int>"), ("decoded", "string")])
 
@@ -256,8 +278,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     def digest(values: Iterable[bytes]) -> pa.Array:
         return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
-    return _coded(docs, id_col, text_col, ranks_path, pattern, lambda b, ids, text: (
-        [pa.array(list(map(len, ids)), pa.int64()), digest(" ".join(map(str, i)).encode() for i in ids),
+    return _coded(docs, id_col, text_col, ranks_path, pattern, lambda coder, ids, text: (
+        [pa.array(list(map(len, ids)), pa.int64()), digest(coder.listed(i).encode() for i in ids),
          digest(t.encode("utf-8") for t in text)], ["n_tokens", "ids_sha256", "decoded_sha256"]),
         [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
 
@@ -272,7 +294,7 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 ids = [coder.encode(t) for t in strings(b, "_text")]
-                values, names = columns(b, ids, [coder.decode(i) for i in ids])
+                values, names = columns(coder, ids, [coder.decode(i) for i in ids])
                 yield pa.RecordBatch.from_arrays([b.column("_id"), *values], [id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
