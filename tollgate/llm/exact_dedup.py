@@ -40,6 +40,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    # many small stores: do not reserve disk space ahead of use
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 DIGEST_BITS = 256
 
@@ -66,7 +68,8 @@ def run_state(spark: SparkSession, path: str, schema, checkpoint: str, sink: str
     same checkpoint takes only new files and goes on with the same state.
     A replayed batch overwrites its own output."""
     session = spark.newSession()
-    for k, v in STATE_CONF.items():
+    partitions = "spark.sql.shuffle.partitions"
+    for k, v in {**STATE_CONF, partitions: spark.conf.get(partitions)}.items():
         session.conf.set(k, v)
     reader = session.readStream.schema(schema)
     reader = reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader.option("maxBytesPerTrigger", 1 << 30)
