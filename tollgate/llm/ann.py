@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting, on a bounded sample (``sample_rows`` vectors of smallest id hash):
+Fitting, on a bounded sample (about ``sample_rows`` vectors, at random):
 the neighbour graph of the sample is computed by the tasks, cut into parts of
 equal size by recursive bisection (each half keeps the nodes that diffusion
 over the graph puts on one side, then pairs with the largest gain are
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, written
+from .common import by_value, thinned, written
 
 by_value(__name__)
 
@@ -178,14 +178,14 @@ def parts_for(rows: int) -> int:
 
 def fit_router(vectors: DataFrame, rows: int, dim: int, k: int = NEIGHBOURS, sample_rows: int = SAMPLE_ROWS,
                target: float = TARGET) -> Router:
-    """Learn from the ``sample_rows + CHECK_ROWS`` rows of smallest hash of
-    ``vectors`` (``id, row, v``)."""
+    """Learn from about ``sample_rows + CHECK_ROWS`` rows of ``vectors``
+    (``id, row, v``), drawn at random by a fixed seed."""
     spark = vectors.sparkSession
     one = Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0, 1)
     parts = parts_for(rows)
     if parts == 1:
         return one
-    got = vectors.orderBy(F.xxhash64("row", F.lit(9)), "row").limit(sample_rows + CHECK_ROWS).select("v").collect()
+    got = thinned(vectors, sample_rows + CHECK_ROWS, 47, rows).select("v").collect()
     x = np.unique(matrix(pa.array([r["v"] for r in got]), dim), axis=0)
     x = x[np.random.default_rng(1).permutation(len(x))]
     check, x = x[: len(x) // 10][:CHECK_ROWS], x[len(x) // 10:][:sample_rows]

@@ -58,6 +58,13 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
 
 
+def thinned(df: DataFrame, rows: int, seed: int, total: int | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df``, each drawn by itself: the size holds
+    whatever keys repeat, and no task sends more than its share."""
+    total = df.count() if total is None else total
+    return df.filter(F.rand(seed) < F.lit(min(1.0, rows / max(1, total))))
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -8,8 +8,8 @@ frequency of those, discounted at each shorter length. The score is the
 posterior of the best language under equal priors.
 
 The model is fitted on a bounded sample (about ``per_language`` labelled
-documents of each language, whole texts, picked by a hash of the id) and kept
-to ``max_words`` words and ``max_grams`` n-grams of each length, the most
+documents of each of the ``max_languages`` most frequent languages, whole
+texts, drawn at random by a fixed seed) and kept to ``max_words`` words and ``max_grams`` n-grams of each length, the most
 frequent ones. Prediction reads every whole text in one pass without a
 shuffle and uses the text alone.
 
@@ -40,7 +40,7 @@ by_value(__name__)
 UNKNOWN = "und"
 LENGTHS = (4, 3, 2, 1)
 DISCOUNT = 0.7
-CACHE_CELLS = 4_000_000
+CACHE_CELLS = 1_500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -114,11 +114,12 @@ class LanguageModel:
         return names, scores
 
 
-def _sampled(docs: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language by a hash of id and text."""
-    sizes = docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return docs.join(sizes, "_lang").filter(draw * F.col("_n") < per_language).select("_lang", "_text")
+def _sampled(docs: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+    """About ``per_language`` rows of each language, each drawn by itself.
+    The table of language sizes is bounded, so it is broadcast and the texts
+    are not shuffled."""
+    sizes = docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages)
+    return docs.join(F.broadcast(sizes), "_lang").filter(F.rand(37) * F.col("_n") < per_language).select("_lang", "_text")
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -157,10 +158,11 @@ def _gram_table(words: dict[str, dict[str, int]], n: int, languages: list[str],
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 per_language: int = 2500, max_words: int = 40000, max_grams: int = 20000) -> LanguageModel:
+                 per_language: int = 2500, max_words: int = 40000, max_grams: int = 20000,
+                 max_languages: int = 1000) -> LanguageModel:
     """Learn from the rows of ``docs`` whose ``lang_col`` is not null."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    counts = _word_counts(_sampled(rows.filter("_lang is not null and _text is not null"), per_language))
+    counts = _word_counts(_sampled(rows.filter("_lang is not null and _text is not null"), per_language, max_languages))
     top = counts.groupBy("word").agg(
         F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
     ).orderBy(F.desc("all"), "word").limit(max_words).collect()

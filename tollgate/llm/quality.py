@@ -12,8 +12,8 @@ the unlabelled share above the threshold to the positive share above it
 (with a confidence margin for both shares), measured on halves of the samples
 that network did not see.
 
-Fitting reads a bounded sample (``max_positives`` and ``max_unlabelled``
-documents, smallest id hashes first); scoring reads every whole text, one
+Fitting reads a bounded sample (about ``max_positives`` and
+``max_unlabelled`` documents, drawn at random by a fixed seed); scoring reads every whole text, one
 pass, without a shuffle.
 
 Defined results: null text counts as empty; an empty text gets a score from
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, fold, map_text, strings
+from .common import by_value, fold, map_text, strings, thinned
 
 by_value(__name__)
 
@@ -118,8 +118,8 @@ def pn_weights(mp: np.ndarray, mu: np.ndarray, _: float) -> tuple[float, np.ndar
     return loss, -0.5 * sigmoid(-mp) / mp.size, 0.5 * sigmoid(mu) / mu.size
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float, weights, steps: int, hidden: int = 16, seed: int = 7,
-          decay: float = 1e-3, batch: int = 2048) -> Net:
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, weights, steps: int, hidden: int = 8, seed: int = 7,
+          decay: float = 3e-3, batch: int = 8192) -> Net:
     rng = np.random.default_rng(seed)
     both = np.concatenate([xp, xu])
     mean, scale = both.mean(0), both.std(0) + 1e-3
@@ -157,34 +157,28 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray, sure: float = 0.1) -> float:
     return float(np.clip(share_u[at] / max(share_p[at], 1e-9), 0.02, 0.98))
 
 
-def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 500) -> tuple[Net | None, float]:
+def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 300) -> tuple[Net | None, float]:
     """(network, estimated prior); no network without both samples."""
     if not len(xp) or not len(xu):
         return None, 0.5
-    first = train(xp[::2], xu[::2], 0.5, pn_weights, steps // 2)
+    first = train(xp[::2], xu[::2], 0.5, pn_weights, steps)
     prior = estimate_prior(first.margin(xp[1::2] if len(xp) > 1 else xp), first.margin(xu[1::2] if len(xu) > 1 else xu))
     return train(xp, xu, prior, pu_weights, steps), prior
 
 
-def _sample(rows: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` rows of smallest id hash, found on the ids alone."""
-    return rows.select("_id").dropDuplicates().orderBy(F.xxhash64("_id"), "_id").limit(limit)
-
-
-def _gather(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, computed by the tasks."""
+def _gather(rows: DataFrame) -> np.ndarray:
+    """Features of a bounded sample ``_text``, computed by the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = feature_rows(strings(b, "_text")).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    picked = docs.join(F.broadcast(ids), "_id", "left_semi")
-    schema = docs.select("_id").schema.add("x", "binary")
-    got = map_text(picked.select("_id", "_text"), run, schema).orderBy("_id", "x").collect()
+    got = sorted(bytes(r["x"]) for r in map_text(rows.select("_text"), run, "x binary").collect())
     if not got:
         return np.zeros((0, len(features(""))))
-    return np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]).astype(np.float64)
+    x = np.frombuffer(b"".join(got), dtype=np.float32).reshape(len(got), -1).astype(np.float64)
+    return x[np.random.default_rng(2).permutation(len(x))]
 
 
 @dataclass
@@ -199,16 +193,16 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                exclude: Column | None = None, max_positives: int = 6000, max_unlabelled: int = 12000) -> QualityModel:
+                exclude: Column | None = None, max_positives: int = 8000, max_unlabelled: int = 20000) -> QualityModel:
     """Learn from ``positives`` (a table with ``id_col``) and from the other
     texts of ``docs``. ``exclude``: rows of ``docs`` to leave out of both
     samples (the held-out fold)."""
     base = docs if exclude is None else docs.filter(~F.coalesce(exclude, F.lit(False)))
     base = base.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     known = positives.select(F.col(id_col).alias("_id")).dropDuplicates()
-    pos_ids = _sample(base.select("_id").join(known, "_id", "left_semi"), max_positives)
-    any_ids = _sample(base, max_unlabelled)
-    net, prior = fit(_gather(base, pos_ids), _gather(base, any_ids))
+    ids = thinned(base.select("_id").dropDuplicates().join(known, "_id", "left_semi"), max_positives, 41)
+    trusted = base.join(F.broadcast(ids), "_id", "left_semi").dropDuplicates(["_id"])
+    net, prior = fit(_gather(trusted), _gather(thinned(base, max_unlabelled, 43)))
     return QualityModel(net, prior)
 
 

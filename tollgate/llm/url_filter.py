@@ -60,38 +60,35 @@ def _key() -> Column:
     return F.concat(F.col("host_part"), F.col("path_part"))
 
 
-def _spots(blocks: int) -> tuple[Column, Column]:
-    """Block of a key, and its bits there as eight 64-bit words."""
+def _spots(blocks: int) -> tuple[Column, list[Column]]:
+    """Block of a key, and the places of its bits in the block."""
     a, b = (F.xxhash64(F.lit(seed), _key()) for seed in SEEDS)
-    block = F.pmod(a, F.lit(blocks))
-    bits = [F.pmod(b + F.lit(i) * F.shiftrightunsigned(a, 17), F.lit(BLOCK_BITS)) for i in range(BITS)]
-
-    def word(k: int) -> Column:
-        out = F.lit(0).cast("long")
-        for bit in bits:
-            inside = F.when(F.floor(bit / 64) == k, F.expr("1L")).otherwise(F.lit(0).cast("long"))
-            out = out.bitwiseOR(F.call_function("shiftleft", inside, (bit % 64).cast("int")))
-        return out
-
-    return block, F.array(*[word(k) for k in range(BLOCK_BITS // 64)])
+    start, step = F.pmod(b, F.lit(BLOCK_BITS)), F.pmod(F.shiftrightunsigned(b, 32), F.lit(BLOCK_BITS // 2)) * 2 + 1
+    places = [F.pmod(start + F.lit(i) * step, F.lit(BLOCK_BITS)).cast("int") for i in range(BITS)]
+    return F.pmod(a, F.lit(blocks)), places
 
 
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
-    """``block, w0 .. w7`` of the blocked filter over ``host_part, path_part``."""
-    block, words = _spots(blocks)
-    made = keys.select(block.alias("block"), words.alias("w"))
-    return made.groupBy("block").agg(*[F.bit_or(F.col("w")[k]).alias(f"w{k}") for k in range(BLOCK_BITS // 64)])
+    """``block, words`` (eight 64-bit words) of the blocked filter over
+    ``host_part, path_part``."""
+    block, places = _spots(blocks)
+    one = F.call_function("shiftleft", F.expr("1L"), F.pmod("place", F.lit(64)))
+    bits = keys.select(block.alias("block"), F.explode(F.array(*places)).alias("place"))
+    word = bits.select("block", F.floor(F.col("place") / 64).alias("k"), one.alias("bit"))
+    made = word.groupBy("block").agg(*[F.bit_or(F.when(F.col("k") == k, F.col("bit"))).alias(f"w{k}") for k in range(BLOCK_BITS // 64)])
+    return made.select("block", F.array(*[F.coalesce(f"w{k}", F.lit(0).cast("long")) for k in range(BLOCK_BITS // 64)]).alias("words"))
 
 
 def probe(candidates: DataFrame, filter_blocks: DataFrame, blocks: int, small: bool) -> DataFrame:
     """The candidates whose bits are all set in their block."""
-    block, words = _spots(blocks)
-    asked = candidates.withColumns({"block": block, "w": words})
+    block, places = _spots(blocks)
+    asked = candidates.withColumns({"block": block, "places": F.array(*places)})
     hit = asked.join(F.broadcast(filter_blocks) if small else filter_blocks, "block")
-    full = F.lit(True)
-    for k in range(BLOCK_BITS // 64):
-        full = full & (F.col("w")[k].bitwiseAND(F.col(f"w{k}")) == F.col("w")[k])
-    return hit.filter(full).select(*candidates.columns)
+    for i in range(BITS):
+        place = F.col("places")[i]
+        word = F.element_at("words", F.floor(place / 64).cast("int") + 1)
+        hit = hit.filter(F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64))).bitwiseAND(F.expr("1L")) == 1)
+    return hit.select(*candidates.columns)
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
