@@ -29,10 +29,13 @@ LOCATOR = "struct<file: string, row: long>"
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker process, so tables
-    built by one task serve the next tasks of the same worker."""
+    """A dict that lives in the Python worker process until another store is
+    asked for, so tables built by one task serve the next tasks of the same
+    worker, and a worker holds the tables of one operator at a time."""
     m = sys.modules.setdefault("_tollgate_worker_store", types.ModuleType("_tollgate_worker_store"))
-    return m.__dict__.setdefault(name, {})
+    if getattr(m, "held", None) != name:
+        m.held, m.store = name, {}
+    return m.store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +68,15 @@ def thinned(df: DataFrame, rows: int, seed: int, total: int | None = None) -> Da
     return df.filter(F.rand(seed) < F.lit(min(1.0, rows / max(1, total))))
 
 
-def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
+             rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows, so few texts are
+    Python strings at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(docs: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def _gather(rows: DataFrame) -> np.ndarray:
     got = sorted(bytes(r["x"]) for r in map_text(rows.select("_text"), run, "x binary").collect())
     if not got:
         return np.zeros((0, len(features(""))))
-    x = np.frombuffer(b"".join(got), dtype=np.float32).reshape(len(got), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(got), dtype=np.float32).reshape(len(got), -1)
     return x[np.random.default_rng(2).permutation(len(x))]
 
 

@@ -253,7 +253,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces: int | None = None,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["mask", "pattern", "rank"]
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("mask", "pattern", "fp")
-    found = written(map_text(ordered, _scan_nodes(max_bits, block), LINK_SCHEMA), "simhash-blocks")
+    found = written(ordered.mapInArrow(_scan_nodes(max_bits, block), LINK_SCHEMA), "simhash-blocks")
     cut = found.filter("members is not null").withColumn("block", F.xxhash64("mask", "pattern", "members"))
     near = cut.select("mask", "pattern", "block", "low", "high")
     other = near.select("mask", "pattern", *[F.col(c).alias(f"{c}_2") for c in ("block", "low", "high")])
@@ -262,7 +262,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces: int | None = None,
     body = cut.select("block", "members")
     both = pairs.select("block", "block_2").join(body, "block").join(
         body.select(F.col("block").alias("block_2"), F.col("members").alias("members_2")), "block_2")
-    across = map_text(both.select("members", "members_2"), _scan_pairs(max_bits), "src long, dst long")
+    across = both.select("members", "members_2").mapInArrow(_scan_pairs(max_bits), "src long, dst long")
     inside = found.filter("src is not null").select("src", "dst")
     return inside.unionByName(across).distinct()
 
