@@ -65,16 +65,9 @@ def test_dashboard_scan_is_pruned(spark):
     assert "props" not in scan and "event_id" not in scan
 
 
-def test_balanced_leaves_many_file_inputs_alone(spark):
-    """The spread is for small single-file inputs only: an input with at
-    least one file per core is not shuffled."""
-    from tollgate.session import scratch_path
-    from tollgate.sources.tables import balanced
-
-    cores = spark.sparkContext.defaultParallelism
-    path = scratch_path(spark, "many-files")
-    spark.range(0, 10_000, numPartitions=cores * 2).write.parquet(path)
-    many = spark.read.parquet(path)
-    assert "RoundRobinPartitioning" not in _physical(balanced(many))
+def test_spread_is_off_unless_asked(spark):
+    from tollgate.sources.tables import spread
+
     one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert "RoundRobinPartitioning" in _physical(balanced(one))
+    assert "RoundRobinPartitioning" not in _physical(spread(one))
+    assert "RoundRobinPartitioning" in _physical(spread(one, 8))

@@ -116,7 +116,7 @@ def test_long_running_streams(spark):
     consumed, stop, and compare with the batch answers."""
     from tollgate.operators.dashboard import dash_stats
     from tollgate.sources.tables import audit_log_from_events
-    from tollgate.streaming.screen import events_audit_stream, start_audit_stream, start_stats_stream, table_stream
+    from tollgate.streaming.screen import events_audit_stream, newest_result, start_audit_stream, start_stats_stream, table_stream
 
     sf = "/root/testdata/sf0.001"
     sink = scratch_path(spark, "test-audit-sink")
@@ -131,7 +131,7 @@ def test_long_running_streams(spark):
     stats_sink = scratch_path(spark, "test-stats-sink")
     q = start_stats_stream(events_audit_stream(spark, sf), stats_sink, trigger="1 second")
     q.processAllAvailable(); q.stop()
-    live = spark.read.parquet(stats_sink).collect()[0]
+    live = newest_result(spark, stats_sink).collect()[0]
     batch = dash_stats(audit_log_from_events(spark, sf)).collect()[0]
     assert live.asDict() == batch.asDict()
 
@@ -142,3 +142,79 @@ def test_counts_sum_to_total(spark):
 
     s = dash_stats(audit_log_from_events(spark, "/root/testdata/sf0.01")).collect()[0]
     assert s.total == s.blocked + s.modified + s.allowed > 0
+
+
+def test_audit_stream_restarts_and_shares_a_sink(spark, tmp_path):
+    """A second start goes on where the first ended, two queries share a
+    sink, and a request id repeated in a later batch is logged once."""
+    import pytest
+
+    from tollgate.streaming.screen import start_audit_stream
+
+    src, sink = str(tmp_path / "requests"), str(tmp_path / "sink")
+
+    def put(ids):
+        spark.createDataFrame([(i, "hello " + i) for i in ids], "request_id string, input string").write.mode("append").parquet(src)
+
+    def run(name, **more):
+        stream = spark.readStream.schema("request_id string, input string").parquet(src)
+        q = start_audit_stream(stream, sink, trigger="1 second", name=name, **more)
+        q.processAllAvailable()
+        q.stop()
+
+    put(["a", "b", "c"])
+    run("one")
+    put(["c", "d"])
+    run("one")
+    run("two")
+    put(["a", "e"])
+    run("two")
+    got = sorted(r["request_id"] for r in spark.read.parquet(sink).select("request_id").collect())
+    assert got == ["a", "b", "c", "d", "e"]
+    with pytest.raises(ValueError):
+        run("one", checkpoint=str(tmp_path / "fresh"))
+
+
+def test_clear_log_under_dynamic_overwrite(spark):
+    from tollgate.operators import audit
+    from tollgate.sources.tables import audit_log_from_events
+
+    path = scratch_path(spark, "test-clear")
+    audit.write_audit_log(audit_log_from_events(spark, "/root/testdata/sf0.001"), path, "overwrite")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        assert audit.clear_log(spark, path).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
+def test_first_stored_rule_counts(spark):
+    t = spark.createDataFrame(
+        [(str(i), "n", "input", "pii", True, json.dumps({"action": a}), None) for i, a in ((3, "mask"), (1, "block"), (2, "mask"))]
+        + [("9", "n", "input", "unknown", True, "{}", None)],
+        "id string, name string, category string, type string, enabled boolean, config string, created_at timestamp")
+    pol = policy_from_table(t)
+    assert pol.input_rule("pii").action == "block" and pol.input_rule("unknown") is None
+
+
+def test_template_rule_in_linear_time(spark):
+    """The same answer as the stated pattern on short random strings, and
+    half a megabyte of open braces in seconds."""
+    import random
+    import re
+    import time
+
+    from tollgate.functions.injection import rule_hit
+    from tollgate.functions.rules import INJECTION_RULES
+
+    rule = next(r for r in INJECTION_RULES if r.java)
+    rng = random.Random(5)
+    parts = ["{", "}", "system", "SYSTEM", "prompt", "Prompt", " ", "\n", "\u2028", "x", "sys"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rule_hit(F.col("t"), rule).alias("hit"))
+    assert all(r["hit"] == bool(re.search(rule.pattern, r["t"], re.I)) for r in df.collect())
+    for worst in ("{ system prompt " * 32_000, '{ "a": "system" }' * 30_000):
+        big = spark.createDataFrame([(worst + "}",)], "t string").select(rule_hit(F.col("t"), rule).alias("hit"))
+        start = time.time()
+        assert big.first()["hit"] == ("prompt" in worst)
+        assert time.time() - start < 5

@@ -28,7 +28,7 @@ RESULT_TYPE = "struct<detected:boolean,confidence:double,type:string,reason:stri
 
 
 def java_pattern(r: InjectionRule) -> str:
-    return dialect.to_java(first_char_guard(r.first) + r.pattern, "i")
+    return r.java or dialect.to_java(first_char_guard(r.first) + r.pattern, "i")
 
 
 def re2_pattern(r: InjectionRule) -> str:

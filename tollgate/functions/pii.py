@@ -46,19 +46,6 @@ def _plain(p: PiiPattern) -> bool:
     return not p.may_pad and (p.min_digits is None or p.floor_implied)
 
 
-def _spans_sql(p: PiiPattern, m: str, g: str) -> str:
-    """The one-fold span builder of ``_spans_for`` as SQL text: a single
-    expression object instead of hundreds of client-side calls."""
-    return (
-        f"aggregate(zip_with(slice(coalesce({g}, cast(array() as array<string>)), 1, size({m})), {m}, "
-        f"(_g, _v) -> named_struct('g', length(_g), 'v', _v)), "
-        f"named_struct('pos', 0, 'spans', cast(array() as {SPANS_TYPE})), "
-        f"(_a, _x) -> named_struct('pos', _a.pos + _x.g + length(_x.v), 'spans', concat(_a.spans, array(named_struct("
-        f"'type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', _x.v, "
-        f"'start', cast(_a.pos + _x.g as int), 'end', cast(_a.pos + _x.g + length(_x.v) as int))))), "
-        f"_a -> _a.spans)"
-    )
-
 # JavaScript String.prototype.trim() whitespace: \s plus line terminators.
 _JS_TRIM = r"^[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+|[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+$"
 
@@ -111,49 +98,8 @@ def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _spans_for(p: PiiPattern, matches: Column, gaps: Column) -> Column:
-    """Spans of one pattern in one left-to-right fold over (gap, match)
-    pairs: the running offset gives each start. One pass builds the list
-    (array growth copies references only), and no per-element expression
-    re-evaluates the fold."""
-    gaps = F.coalesce(gaps, _empty_strings())  # no split where nothing matched
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(matches)), matches, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))
-    )
-    empty = F.array().cast(SPANS_TYPE)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["g"]
-        val = F.regexp_replace(x["v"], _JS_TRIM, "") if p.may_pad else x["v"]
-        span = F.struct(
-            F.lit(p.type).alias("type"),
-            F.lit(p.label).alias("label"),
-            val.alias("value"),
-            start.cast("int").alias("start"),
-            (start + F.length(val)).cast("int").alias("end"),
-        )
-        return F.struct(
-            (start + F.length(x["v"])).alias("pos"),
-            F.concat(acc["spans"], F.array(span)).alias("spans"),
-        )
-
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda a: a["spans"])
-    if p.min_digits is not None and not p.floor_implied:
-        n = p.min_digits
-        spans = F.filter(
-            spans, lambda s: F.length(F.regexp_replace(s["value"], r"[^0-9]", "")) >= n
-        )
-    return spans
-
-
-# Above this many matches of one pattern in one row, offsets come from block
-# prefix sums rather than the single fold.
-BIG_ROW = 64
-
-
-def _big_spans_sql(p: PiiPattern, m: str, g: str) -> str:
-    """Spans for a row with many matches (any detector): one fold over blocks of about
-    sqrt(n) matches; each block's offsets are the running offset plus a
+def _spans_sql(p: PiiPattern, m: str, g: str) -> str:
+    """Spans of one detector as SQL text: one fold over blocks of about sqrt(n) matches; each block's offsets are the running offset plus a
     short in-block sum. Only the match and gap columns are read inside the
     lambdas, so nothing is re-evaluated per element: O(n^1.5) array work
     instead of the single fold's O(n^2)."""
@@ -228,15 +174,11 @@ def with_pii(
         ))
         g_cols.append(name)
     df2 = df1.withColumns(stage2)
-    big = {i: f"size({ident(m_cols[i])}) > {BIG_ROW}" for i in range(len(pats))}
-    def fold(i: int, p: PiiPattern) -> Column:
-        if _plain(p):
-            m, g = ident(m_cols[i]), ident(g_cols[i])
-            return F.expr(f"CASE WHEN {big[i]} THEN {_big_spans_sql(p, m, g)} ELSE {_spans_sql(p, m, g)} END")
-        big_c = F.expr(_big_spans_sql(p, ident(m_cols[i]), ident(g_cols[i])))
-        return F.when(F.expr(big[i]), big_c).otherwise(_spans_for(p, F.col(m_cols[i]), F.col(g_cols[i])))
-
-    folds = [fold(i, p) for i, p in enumerate(pats)]
+    folds = [
+        F.expr(f"CASE WHEN size({ident(m_cols[i])}) > 0 THEN {_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))} "
+               f"ELSE cast(array() as {SPANS_TYPE}) END")
+        for i, p in enumerate(pats)
+    ]
     t_cols: list[str] = []
     empty = F.array().cast(SPANS_TYPE)
     if parts is not None and all(_plain(p) for p in pats):

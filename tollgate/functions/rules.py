@@ -143,6 +143,8 @@ class InjectionRule:
     # The characters a match can start with (case-insensitive), or "" when
     # not worth stating; see ``first_char_guard``.
     first: str = ""
+    # A Java pattern with the same answer in linear time, or "".
+    java: str = ""
 
 
 @dataclass(frozen=True)
@@ -201,12 +203,15 @@ PII_PATTERNS: tuple[PiiPattern, ...] = tuple(
     for (t, lbl, p, f) in PII_PATTERN_TABLE
 )
 
-# The brace template rule needs both braces; its lazy scans are
-# super-linear on brace-heavy text, and most text has no braces at all.
+# The brace template rule needs both braces, and most text has none. Where it
+# matches at all it matches from the first "{", the first "system" after that
+# and the first "prompt" after that, so one pass without backtracking decides.
 _INJECTION_NEEDLES = {4: ("{", "}")}
+_INJECTION_JAVA = {4: r"(?is)^[^{]*+\{(?>.*?system)(?>.*?prompt).*?\}"}
 
 INJECTION_RULES: tuple[InjectionRule, ...] = tuple(
-    InjectionRule(type=t, pattern=p, reason=r, needles=_INJECTION_NEEDLES.get(i, ()), first=_INJECTION_FIRST.get(i, ""))
+    InjectionRule(type=t, pattern=p, reason=r, needles=_INJECTION_NEEDLES.get(i, ()), first=_INJECTION_FIRST.get(i, ""),
+                  java=_INJECTION_JAVA.get(i, ""))
     for i, (t, p, r) in enumerate(INJECTION_RULE_TABLE)
 )
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pii as piif
+from ..session import path_exists
 from ..sources.tables import AUDIT_COLUMNS, AUDIT_SCHEMA
 
 
@@ -125,17 +126,16 @@ def append_audit_log(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Append only requests not yet logged."""
     from ..sources.tables import read_audit_log
 
-    try:
-        existing = read_audit_log(spark, path)
-        existing.select("request_id").limit(0).collect()
-        rows = new_rows_only(batch, existing)
-    except Exception:  # no log yet
+    if path_exists(spark, path):
+        rows = new_rows_only(batch, read_audit_log(spark, path))
+    else:
         rows = dedupe_requests(batch)
     write_audit_log(rows, path, "append")
 
 
 def clear_log(spark: SparkSession, path: str) -> DataFrame:
-    """K3: replace the log by an empty table of the same schema."""
-    empty = spark.createDataFrame([], AUDIT_SCHEMA)
-    write_audit_log(empty, path, "overwrite")
+    """K3: replace the log by an empty table of the same schema, also where
+    the session overwrites partitions dynamically."""
+    empty = with_created_date(spark.createDataFrame([], AUDIT_SCHEMA))
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("created_date").parquet(path)
     return spark.read.schema(AUDIT_SCHEMA + ", created_date date").parquet(path)

@@ -99,10 +99,12 @@ def blocked_by_chart(log: DataFrame) -> DataFrame:
 def daily_counts(log: DataFrame, as_of: Column, days: int = 7, grain: str = "day") -> DataFrame:
     """A6 (P8): rows created in the ``days`` days up to ``as_of`` (inclusive
     lower bound), counted per UTC day (``grain='day'``, the stated intent) or
-    per exact timestamp (``grain='exact'``, as coded). The predicate on
-    ``created_at`` prunes date partitions of the written log."""
+    per exact timestamp (``grain='exact'``, as coded). On a written log the
+    predicate on ``created_date`` prunes its date partitions."""
     since = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     recent = log.filter(F.col("created_at") >= since)
+    if "created_date" in log.columns:
+        recent = recent.filter(F.col("created_date") >= F.to_date(since))
     if grain == "day":
         key = F.date_format(F.col("created_at"), "yyyy-MM-dd").alias("day")
     elif grain == "exact":

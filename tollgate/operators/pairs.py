@@ -20,8 +20,13 @@ from .verdict import screen_input, screen_output
 def response_join(requests: DataFrame, responses: DataFrame, key: str | list[str] = "request_id",
                   response: str = "response") -> DataFrame:
     """Requests left-joined to recorded responses by request id. A
-    missing response is absent content: the empty string."""
-    joined = requests.join(responses, key, "left")
+    missing response is absent content: the empty string. Of several
+    responses to one request the smallest counts, so no request row is
+    multiplied; they are reduced before the join, map-side first."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in responses.columns if c not in keys]
+    one = responses.groupBy(*keys).agg(F.min(F.struct(response, *[c for c in rest if c != response])).alias("_one"))
+    joined = requests.join(one.select(*keys, "_one.*"), key, "left")
     return joined.withColumn("has_response", F.col(response).isNotNull()).withColumn(
         response, F.coalesce(F.col(response), F.lit(""))
     )
@@ -93,7 +98,9 @@ def screen_requests(
     live: a dry-run row stops after input screening (``modified`` stays
     visible); a full run of a masked input ends ``allowed``. library: no dry
     run; output adds the JSON-schema step."""
-    s = screen_input(df, input_col, policy, profile if profile != "suite" else "live", overrides)
+    if profile not in ("live", "library"):
+        raise ValueError(f"no end-to-end screen under profile {profile!r}")
+    s = screen_input(df, input_col, policy, profile, overrides)
     not_blocked = F.col("input_status") != "blocked"
     dry = F.coalesce(F.col(dry_run), F.lit(False)) if (dry_run and profile == "live") else F.lit(False)
     gate = not_blocked & ~dry

@@ -169,17 +169,18 @@ def toggle_rules_table(rules: DataFrame, t: str) -> DataFrame:
     return rules.withColumn("enabled", F.when(F.col("type") == t, ~F.col("enabled")).otherwise(F.col("enabled")))
 
 
-MAX_POLICY_ROWS = 10_000
-
-
 def policy_from_table(table: DataFrame, base: Policy = DEFAULT_POLICY) -> Policy:
     """Build a policy from a stored rule table (``POLICY_TABLE_SCHEMA``;
     ``config`` is JSON text with optional ``action``, ``fields``, ``enforce``).
-    Configuration, not data: the read is capped and refused above
-    ``MAX_POLICY_ROWS`` instead of pulling an unbounded table to the driver."""
-    rows = table.select("category", "type", "enabled", "config").limit(MAX_POLICY_ROWS + 1).collect()
-    if len(rows) > MAX_POLICY_ROWS:
-        raise ValueError("policy table too large to be configuration")
+    Rules of one type: the first by creation time, then id, counts. The table
+    is reduced to one row per known rule type before it is read, so what
+    reaches the driver is bounded by the closed set of types."""
+    known = [("input", r.type) for r in base.input_rules] + [("output", r.type) for r in base.output_rules]
+    wanted = F.struct("category", "type").isin([F.struct(F.lit(c), F.lit(t)) for c, t in known])
+    place = F.struct(*[F.col(c) for c in ("created_at", "id") if c in table.columns], "enabled", "config")
+    first = table.filter(wanted).groupBy("category", "type").agg(F.min_by(F.struct("enabled", "config"), place).alias("rule"))
+    found = {(r["category"], r["type"]): r["rule"] for r in first.collect()}
+    rows = [{"category": c, "type": t, **found[c, t].asDict()} for c, t in known if (c, t) in found]
     ins, outs = [], []
     for r in rows:
         cfg = json.loads(r["config"]) if r["config"] else {}

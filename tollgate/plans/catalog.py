@@ -29,13 +29,22 @@ from ..operators.pairs import conversation_pairs, keyword_route, response_join,
 from ..operators.policy import DEFAULT_POLICY
 from ..operators.verdict import display_status, screen_input, screen_output
 from ..sources.seeds import seeded, seeded_sql
-from ..sources.tables import audit_log_from_events, balanced, read_table, valid_requests
+from ..sources.tables import audit_log_from_events, read_audit_log, read_table, spread, valid_requests
 from . import oracle_sql as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Session setting: parts to spread a small table into (unset: as scanned).
+SPREAD_CONF = "spark.tollgate.spread"
+
+
+def balanced(spark, df):
+    parts = spark.conf.get(SPREAD_CONF, None)
+    return spread(df, int(parts) if parts else None)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -54,11 +63,11 @@ q = sql_string
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return balanced(read_table(spark, sf, "documents", ["doc_id", "text"]))
+    return balanced(spark, read_table(spark, sf, "documents", ["doc_id", "text"]))
 
 
 def docs_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return balanced(read_table(spark, sf, "documents", ["doc_id", "lang", "text"]))
+    return balanced(spark, read_table(spark, sf, "documents", ["doc_id", "lang", "text"]))
 
 
 def seeded_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,11 +75,11 @@ def seeded_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return balanced(read_table(spark, sf, "pages", ["page_id", "html"]))
+    return balanced(spark, read_table(spark, sf, "pages", ["page_id", "html"]))
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return balanced(read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]))
+    return balanced(spark, read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]))
 
 
 DOCS_SQL = "SELECT doc_id, text FROM documents"
@@ -291,7 +300,7 @@ _JSON_K = 8
 
 
 def json_candidates(spark, sf):
-    ev = balanced(read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "props"]))
+    ev = balanced(spark, read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "props"]))
     k = F.col("event_id") % _JSON_K
     text = (
         F.when(k == 0, F.col("props"))
@@ -539,7 +548,7 @@ def pairs(spark, sf, how="left"):
     detectors work on; a sort-merge join at scale already has enough
     partitions, a broadcast join keeps the scan's few)."""
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    return balanced(conversation_pairs(conv, how))
+    return balanced(spark, conversation_pairs(conv, how))
 
 
 _PAIR_OV = O.output_verdict_sql("response", "live")
@@ -817,15 +826,16 @@ def q_audit_log_dedup(spark, sf):
 
 @register(
     "clear_log",
-    f"SELECT request_id, status FROM ({EVENTS_LOG_SQL}) WHERE false",
+    f"SELECT count(*) AS rows_before, 0::BIGINT AS rows_after FROM ({EVENTS_LOG_SQL})",
 )
 def q_clear_log(spark, sf):
-    """K3: write the events log, clear it, read it back (empty, same schema)."""
+    """K3: write the events log, clear it, and count its rows before and after."""
     from ..session import scratch_path
 
     path = scratch_path(spark, "clear-log")
     audit.write_audit_log(events_log(spark, sf), path, "overwrite")
-    return audit.clear_log(spark, path).select("request_id", "status")
+    before = read_audit_log(spark, path).agg(F.count(F.lit(1)).alias("rows_before")).first()["rows_before"]
+    return audit.clear_log(spark, path).agg(F.lit(before).alias("rows_before"), F.count(F.lit(1)).alias("rows_after"))
 
 
 def _response_json_sql(verdict_sql: str, ov: dict) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings the library relies on. They are applied to sessions we build and
@@ -59,9 +60,9 @@ def apply_result_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (a core setting,
     fixed when the application starts), else the folder registered with
-    ``SparkContext.setCheckpointDir``. Only when neither exists (local
-    tests) do we register a fresh folder under the system temp folder; on a
-    cluster the setting must point at shared storage."""
+    ``SparkContext.setCheckpointDir``. Only under a local master (tests) is
+    a fresh temporary folder registered when neither exists; on a cluster
+    that is an error, since a temporary folder is not shared."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
@@ -71,14 +72,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = None
     if d:
         return d.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="tollgate-ckpt-")
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
+    spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there; any other read error is raised."""
+    try:
+        spark.read.format("binaryFile").load(path).limit(0).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/tollgate/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,10 +1,8 @@
 """Table sources: the driver tables, request files, the audit log.
 
 Scans read parquet with column pruning; filters placed on the result reach
-the parquet reader as pushed filters. ``balanced`` spreads rows over the
-cluster only when a scan produced fewer partitions than there are cores,
-which happens for small single-file inputs; a large input already has
-many file splits and is left alone (no full shuffle of the text).
+the parquet reader as pushed filters. ``spread`` repartitions an input that
+its caller knows to be small; it is off unless a number is given.
 """
 
 from __future__ import annotations
@@ -41,54 +39,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     return df.select(*columns) if columns else df
 
 
-SPREAD_FACTOR = 4
-
-
-def estimated_splits(spark: SparkSession, files: Sequence[str], cores: int) -> int:
-    """Scan splits of a set of files, estimated from metadata only: with at
-    least ``cores`` files the answer is "enough" without any size lookups
-    (the case of every large input); otherwise file sizes over the split
-    size. Nothing is executed."""
-    if len(files) >= cores:
-        return len(files)
-    split = _split_bytes(spark)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        size = path.getFileSystem(conf).getFileStatus(path).getLen()
-        total += max(1, -(-size // split))
-    return total
-
-
-def _split_bytes(spark: SparkSession) -> int:
-    v = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
-    v = str(v).strip().lower()
-    mult = 1
-    for suf, m in (("kb", 1024), ("mb", 1024**2), ("gb", 1024**3), ("k", 1024), ("m", 1024**2), ("g", 1024**3), ("b", 1)):
-        if v.endswith(suf):
-            v, mult = v[: -len(suf)], m
-            break
-    return max(1, int(float(v) * mult))
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin repartition when the input is too small to give every
-    core a scan split (a small, single-file input, as in the test tables).
-    Row-level screening is CPU-bound regex work, so an idle core is lost
-    time; text lengths vary a lot, so we aim for a few tasks per core. A
-    big input has enough splits already and is not shuffled. Decided from
-    file metadata (``inputFiles``), never by executing the plan."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = estimated_splits(spark, df.inputFiles(), cores)
-    except Exception:  # no JVM view (e.g. a Connect session): leave as is
-        return df
-    if splits < cores:
-        return df.repartition(cores * SPREAD_FACTOR)
-    return df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition into ``partitions`` parts, for inputs known to
+    be too small to give every core a scan split; off by default."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -1,10 +1,10 @@
 """Structured Streaming forms of screening and the dashboard.
 
-The same column functions run on ``readStream`` sources. Sinks and
-checkpoints live in the shared folder named by ``spark.checkpoint.dir``, so
-a restarted query (lost executor, lost driver) resumes from its offsets; the
-audit sink is idempotent per ``(query, batch_id)``: a replayed batch
-overwrites its own folder instead of appending twice.
+The same column functions run on ``readStream`` sources. A long-running query
+keeps its checkpoint beside its sink under its name, so a second start (lost
+executor, lost driver) resumes from its offsets; the audit sink is idempotent
+per ``(query, batch_id)``: a replayed batch overwrites its own folder instead
+of appending twice, and request ids stay unique across batches and queries.
 """
 
 from __future__ import annotations
@@ -17,42 +17,20 @@ from pyspark.sql import functions as F
 from ..operators import audit, dashboard
 from ..operators.policy import DEFAULT_POLICY, Policy
 from ..operators.verdict import screen_input
-from ..session import scratch_path
-from ..sources.tables import SPREAD_FACTOR, events_as_audit, table_path
-
-
-def _input_splits(spark: SparkSession, path: str) -> int:
-    """Approximate number of scan splits of a path (metadata only)."""
-    from ..sources.tables import _split_bytes
-
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hpath).getLength()
-    return max(1, -(-size // _split_bytes(spark)))
+from ..session import path_exists, scratch_path
+from ..sources.tables import events_as_audit, spread, table_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
-                 spread: bool = True) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """A file stream over one driver table (the schema is taken from the
-    file once, never inferred per batch). With ``spread``, a source too
-    small to give every core a split is round-robin repartitioned, as the
-    batch ``balanced`` does; a large source is left alone."""
-    path = table_path(sf_dir, name)
-    schema = spark.read.parquet(path).schema
+    file once, never inferred per batch). ``partitions`` spreads the rows of
+    each micro-batch; off by default."""
+    schema = spark.read.parquet(table_path(sf_dir, name)).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    df = r.parquet(sf_dir)
-    if spread:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            small = _input_splits(spark, path) < want
-        except Exception:  # no JVM view (e.g. a Connect session)
-            small = False
-        if small:
-            df = df.repartition(want * SPREAD_FACTOR)
-    return df
+    return spread(r.parquet(sf_dir), partitions)
 
 
 def events_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +60,30 @@ def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "app
     return out + "/data"
 
 
-def idempotent_append(bdf: DataFrame, batch_id: int, path: str) -> None:
-    """W2 sink: each micro-batch owns ``batch_id=<n>``; a replay of the same
-    batch overwrites it. Rows are reduced to one per request id first."""
+def idempotent_append(bdf: DataFrame, batch_id: int, path: str, query: str = "batch") -> None:
+    """W2 sink: each micro-batch of each query owns one folder, so a replay
+    of a batch overwrites itself and two queries share a sink. Rows are
+    reduced to one per request id, and ids that any other batch in the sink
+    has are dropped (a join on the id column alone)."""
     rows = audit.dedupe_requests(bdf)
-    audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    spark = bdf.sparkSession
+    if path_exists(spark, path):
+        own = (F.col("query") == query) & (F.col("batch_id") == batch_id)
+        seen = spark.read.schema("request_id string, query string, batch_id long").parquet(path).filter(~own)
+        rows = rows.join(seen.select("request_id"), "request_id", "left_anti").select(*bdf.columns)
+    audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
 
 
 def overwrite_result(bdf: DataFrame, batch_id: int, path: str) -> None:
-    """Complete-mode results: the newest batch replaces the table."""
-    bdf.write.mode("overwrite").parquet(path)
+    """Complete-mode results: each batch writes a version of its own, so a
+    reader never meets a half-written table."""
+    bdf.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+
+def newest_result(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a complete-mode result."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
 
 
 def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +109,7 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard counters as a complete-mode streaming aggregate
     (a real deployment triggers every 5 seconds; here: everything now)."""
     stats = dashboard.dash_stats(events_audit_stream(spark, sf_dir))
-    return spark.read.parquet(run_to_table(spark, stats, "stream-stats", "complete", overwrite_result))
+    return newest_result(spark, run_to_table(spark, stats, "stream-stats", "complete", overwrite_result))
 
 
 def stream_daily(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
@@ -126,7 +118,7 @@ def stream_daily(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") ->
     log = events_audit_stream(spark, sf_dir).withWatermark("created_at", watermark)
     daily = log.groupBy(F.window("created_at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("count"))
     out = daily.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "count")
-    return spark.read.parquet(run_to_table(spark, out, "stream-daily", "complete", overwrite_result))
+    return newest_result(spark, run_to_table(spark, out, "stream-daily", "complete", overwrite_result))
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
@@ -143,8 +135,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes"
 
 # --------------------------------------------------------------------------
 # Long-running forms (W2, W3): a processing-time trigger instead of "all
-# available now". Checkpoints default to the shared checkpoint folder, so a
-# restarted driver resumes from the last committed offsets.
+# available now". Checkpoints default to a folder of the sink named after the
+# query, so a second start resumes from the last committed offsets.
 # --------------------------------------------------------------------------
 
 
@@ -158,9 +150,11 @@ def start_audit_stream(requests: DataFrame, sink: str, text: str = "input", poli
     s = screen_input(requests, text, policy, profile)
     rows = audit.audit_rows(s, profile if profile == "suite" else "live", text, None,
                             created_at=created_at if created_at is not None else F.current_timestamp())
-    ck = checkpoint or scratch_path(spark, name + "-checkpoint")
+    ck = checkpoint or f"{sink}/_checkpoints/{name}"
+    if path_exists(spark, f"{sink}/query={name}") and not path_exists(spark, f"{ck}/offsets"):
+        raise ValueError(f"{sink} has rows of query {name!r}, but {ck} is a new checkpoint and would overwrite them")
     return (rows.writeStream.queryName(name).option("checkpointLocation", ck)
-            .foreachBatch(lambda bdf, bid: idempotent_append(bdf, bid, sink))
+            .foreachBatch(lambda bdf, bid: idempotent_append(bdf, bid, sink, name))
             .trigger(processingTime=trigger).start())
 
 
@@ -170,7 +164,7 @@ def start_stats_stream(audit_log: DataFrame, sink: str, checkpoint: str | None =
     mode, rewritten each trigger; readers see the newest full result)."""
     spark = audit_log.sparkSession
     stats = dashboard.dash_stats(audit_log)
-    ck = checkpoint or scratch_path(spark, name + "-checkpoint")
+    ck = checkpoint or f"{sink}/_checkpoints/{name}"
     return (stats.writeStream.queryName(name).outputMode("complete").option("checkpointLocation", ck)
             .foreachBatch(lambda bdf, bid: overwrite_result(bdf, bid, sink))
             .trigger(processingTime=trigger).start())
