@@ -103,6 +103,33 @@ def test_conversation_pairing(spark):
     assert (inner, left) == (233, 279)
 
 
+def test_conversation_pairing_with_gaps_repeats_and_a_long_conversation(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(c, n, rng.choice(["user", "assistant"]), f"{c}-{n}") for c, size in ((1, 4000), (2, 9), (3, 1)) for n in range(size) if rng.random() < 0.7]
+    rows += [r for r in rows if rng.random() < 0.2] + [(None, 1, "user", "x"), (4, None, "user", "x")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    order = sorted({r for r in rows if r[0] is not None and r[1] is not None})
+    want = {}
+    for i, (c, n, role, text) in enumerate(order):
+        if role == "user":
+            follows = i + 1 < len(order) and order[i + 1][0] == c and order[i + 1][2] == "assistant"
+            want[c, n] = (text, order[i + 1][3] if follows else "", follows)
+    got = {(r["conv_id"], r["turn"]): (r["input"], r["response"], r["has_response"]) for r in conversation_pairs(conv, "left", 50).collect()}
+    assert got == want
+    assert conversation_pairs(conv, "inner", 50).count() == sum(f for _, _, f in want.values())
+
+
+def test_responses_to_one_request_do_not_multiply_it(spark):
+    from tollgate.operators.pairs import response_join
+
+    req = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    res = spark.createDataFrame([("a", "two"), ("a", "one")], "request_id string, response string")
+    got = sorted((r["request_id"], r["response"], r["has_response"]) for r in response_join(req, res).collect())
+    assert got == [("a", "one", True), ("b", "", False)]
+
+
 def test_keyword_route(spark):
     df = spark.createDataFrame([("A Refund?",), ("deliveries",), ("COST",), ("hi",), ("shipping return",)], "t string")
     assert [r.i for r in df.select(keyword_route(F.col("t")).alias("i")).collect()] == [

@@ -9,7 +9,7 @@ step"), without a second branch re-reading the input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import ROUTE_DEFAULT, ROUTES
@@ -32,32 +32,36 @@ def response_join(requests: DataFrame, responses: DataFrame, key: str | list[str
     )
 
 
-def conversation_pairs(conversations: DataFrame, how: str = "inner") -> DataFrame:
-    """Each user turn with the directly following assistant turn.
+def conversation_pairs(conversations: DataFrame, how: str = "inner", bucket: int = 1000) -> DataFrame:
+    """Each user turn with the directly following turn, if that is the
+    assistant's. "Following" is by order, so gaps in the turn numbers pair as
+    they should; of several rows of one turn the smallest (role, text) counts.
 
-    Turn numbers are dense per conversation (0, 1, 2, ...), so "directly
-    following" is ``turn + 1`` and the pairing is an equi-join on
-    ``(conv_id, turn)``. Hashing on both columns spreads one huge
-    conversation over many tasks, where a window partitioned by
-    ``conv_id`` would put it all in one. ``how='inner'`` keeps answered
+    The next turn is found by a window over buckets of ``bucket`` turn
+    numbers of a conversation, so one huge conversation spreads over many
+    tasks; the last turn of a bucket takes the first of the next bucket that
+    has any, found among one row per bucket. ``how='inner'`` keeps answered
     turns only; ``'left'`` keeps every user turn (unanswered ones get an
     empty response)."""
-    c = conversations.select("conv_id", "turn", "role", "text")
-    users = c.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("input")
+    said = F.min(F.struct("role", "text")).alias("said")
+    turns = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(said)
+    turns = turns.withColumn("_b", F.floor(F.col("turn") / bucket))
+    inside = Window.partitionBy("conv_id", "_b").orderBy("turn")
+    turns = turns.withColumn("_next", F.lead("said").over(inside))
+    heads = turns.groupBy("conv_id", "_b").agg(F.min_by("said", "turn").alias("_head"))
+    across = Window.partitionBy("conv_id").orderBy("_b")
+    after = heads.select("conv_id", "_b", F.lead("_head").over(across).alias("_after"))
+    users = turns.filter(F.col("said.role") == "user").join(after, ["conv_id", "_b"], "left")
+    nxt = F.coalesce("_next", "_after")
+    answer = F.when(nxt["role"] == "assistant", nxt["text"])
+    out = users.select(
+        "conv_id", "turn", F.col("said.text").alias("input"), answer.alias("response"),
+        answer.isNotNull().alias("has_response"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
     )
-    answers = c.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
-    )
-    joined = users.join(answers, ["conv_id", "turn"], how)
-    out = joined.withColumn(
-        "request_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    )
-    if how != "inner":
-        out = out.withColumn("has_response", F.col("response").isNotNull()).withColumn(
-            "response", F.coalesce(F.col("response"), F.lit(""))
-        )
-    return out
+    if how == "inner":
+        return out.filter("has_response").drop("has_response")
+    return out.withColumn("response", F.coalesce("response", F.lit("")))
 
 
 def keyword_route(text: Column) -> Column:

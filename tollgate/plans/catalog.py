@@ -86,11 +86,14 @@ DOCS_SQL = "SELECT doc_id, text FROM documents"
 DOCS_LANG_SQL = "SELECT doc_id, lang, text FROM documents"
 SEEDED_SQL = seeded_sql("documents", "doc_id", "text", "doc_id")
 PAGES_SQL = "SELECT page_id, html FROM pages"
-PAIRS_SQL = """SELECT u.conv_id, u.turn, CAST(u.conv_id AS VARCHAR) || '-' || CAST(u.turn AS VARCHAR) AS request_id,
-  u.input, coalesce(a.response, '') AS response, a.response IS NOT NULL AS has_response
-FROM (SELECT conv_id, turn, text AS input FROM conversations WHERE role = 'user') u
-LEFT JOIN (SELECT conv_id, turn - 1 AS turn, text AS response FROM conversations WHERE role = 'assistant') a
-  ON u.conv_id = a.conv_id AND u.turn = a.turn"""
+PAIRS_SQL = """SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id,
+  input, coalesce(response, '') AS response, response IS NOT NULL AS has_response
+FROM (SELECT conv_id, turn, role, text AS input,
+        CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS response
+      FROM (SELECT conv_id, turn, role, text FROM conversations
+            QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user'"""
 
 # --------------------------------------------------------------------------
 # PII (D1-D15, J5, U1)
