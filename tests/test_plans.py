@@ -74,3 +74,11 @@ def test_spread_is_off_unless_asked(spark):
     one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert "RoundRobinPartitioning" not in _physical(spread(one))
     assert "RoundRobinPartitioning" in _physical(spread(one, 8))
+
+
+def test_json_text_is_parsed_twice_at_most(spark):
+    import __spark_entry__ as E
+
+    for name in ("json_valid", "json_required", "screen_pairs", "output_verdict_library"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.lower().count("parsejson") <= 2, name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,6 +71,11 @@ OBJECT_PROTOTYPE_KEYS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _wrapped(text: Column) -> tuple[Column, Column]:
     a = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     b = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
@@ -104,15 +109,22 @@ def json_validate(text: Column, fields: Sequence[str] = ()) -> Column:
     object needs each field as a non-null own key (or a prototype name); an
     array answers to ``length`` and its indices."""
     a, b = _wrapped(text)
-    valid = a.isNotNull() & b.isNotNull()
+    parsed = F.struct(a.alias("a"), b.alias("b"))
+    reason = _let(parsed, lambda p: _json_reason(p["a"], p["a"].isNotNull() & p["b"].isNotNull(), fields))
+    return _let(F.struct(reason.alias("reason")), lambda r: F.struct(r["reason"].isNull().alias("passed"), r["reason"].alias("reason")))
+
+
+def _json_reason(a: Column, valid: Column, fields: Sequence[str]) -> Column:
+    """Why a parsed text (in its array wrapper ``a``) fails, null if it passes."""
     if not fields:
-        return F.struct(
-            valid.alias("passed"),
-            F.when(~valid, F.lit(JSON_INVALID_REASON)).alias("reason"),
-        )
+        return F.when(~valid, F.lit(JSON_INVALID_REASON))
     # the value itself is the single element of the array wrapper: no
     # third parse
-    v = F.try_variant_get(a, "$[0]", "variant")
+    return _let(F.struct(F.try_variant_get(a, "$[0]", "variant").alias("v"), valid.alias("valid")),
+                lambda p: _field_reason(p["v"], p["valid"], fields))
+
+
+def _field_reason(v: Column, valid: Column, fields: Sequence[str]) -> Column:
     kind = F.schema_of_variant(v)
     is_obj = kind.startswith("OBJECT")
     is_arr = kind.startswith("ARRAY")
@@ -134,11 +146,10 @@ def json_validate(text: Column, fields: Sequence[str] = ()) -> Column:
         missing_items.append(F.when(~ok, F.lit(f)))
     missing = F.filter(F.array(*missing_items), lambda x: x.isNotNull())
     container = is_obj | is_arr
-    reason = (
+    return (
         F.when(~valid | ~container, F.lit(JSON_INVALID_REASON))
         .when(F.size(missing) > 0, F.concat(F.lit(JSON_MISSING_PREFIX), F.array_join(missing, ", ")))
     )
-    return F.struct(reason.isNull().alias("passed"), reason.alias("reason"))
 
 
 def resolve_json_fields(policy_fields: Sequence[str], config_fields: Sequence[str] | None) -> tuple[str, ...]:

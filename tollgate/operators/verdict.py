@@ -198,7 +198,7 @@ def screen_output(
         action = default_action(schema_rule, "warn")
         if enforce and action == "block":
             fields = outf.resolve_json_fields(policy.json_required_fields, schema_rule.config.get("fields"))
-            schema_reason = F.when(schema_on, outf.json_validate(t, fields)["reason"])
+            schema_reason = piif.fence(F.when(schema_on, outf.json_validate(t, fields)["reason"]))
     checks["__schema"] = schema_reason
 
     staged = df

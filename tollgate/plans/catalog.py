@@ -330,8 +330,8 @@ JSON_SQL = f"""SELECT event_id, CASE event_id % {_JSON_K}
     f"SELECT event_id, {O.json_reason_sql('body', [])} IS NULL AS passed, {O.json_reason_sql('body', [])} AS reason FROM ({JSON_SQL})",
 )
 def q_json_valid(spark, sf):
-    v = outf.json_validate(F.col("body"))
-    return json_candidates(spark, sf).select("event_id", v["passed"].alias("passed"), v["reason"].alias("reason"))
+    checked = json_candidates(spark, sf).select("event_id", piif.fence(outf.json_validate(F.col("body"))).alias("v"))
+    return checked.select("event_id", "v.passed", "v.reason")
 
 
 @register(
@@ -339,8 +339,8 @@ def q_json_valid(spark, sf):
     f"SELECT event_id, {O.json_reason_sql('body', JSON_FIELDS)} IS NULL AS passed, {O.json_reason_sql('body', JSON_FIELDS)} AS reason FROM ({JSON_SQL})",
 )
 def q_json_required(spark, sf):
-    v = outf.json_validate(F.col("body"), JSON_FIELDS)
-    return json_candidates(spark, sf).select("event_id", v["passed"].alias("passed"), v["reason"].alias("reason"))
+    checked = json_candidates(spark, sf).select("event_id", piif.fence(outf.json_validate(F.col("body"), JSON_FIELDS)).alias("v"))
+    return checked.select("event_id", "v.passed", "v.reason")
 
 
 # --------------------------------------------------------------------------
