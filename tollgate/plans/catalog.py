@@ -28,7 +28,7 @@ from ..operators import audit, dashboard
 from ..operators.pairs import conversation_pairs, keyword_route, response_join, screen_requests
 from ..operators.policy import DEFAULT_POLICY
 from ..operators.verdict import display_status, screen_input, screen_output
-from ..sources.seeds import seeded, seeded_sql
+from ..sources.seeds import SEED_PHRASES, seeded, seeded_sql, seeded_text
 from ..sources.tables import audit_log_from_events, read_audit_log, read_table, spread, valid_requests
 from . import oracle_sql as O
 
@@ -86,7 +86,7 @@ DOCS_SQL = "SELECT doc_id, text FROM documents"
 DOCS_LANG_SQL = "SELECT doc_id, lang, text FROM documents"
 SEEDED_SQL = seeded_sql("documents", "doc_id", "text", "doc_id")
 PAGES_SQL = "SELECT page_id, html FROM pages"
-PAIRS_SQL = """SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id,
+RAW_PAIRS_SQL = """SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id,
   input, coalesce(response, '') AS response, response IS NOT NULL AS has_response
 FROM (SELECT conv_id, turn, role, text AS input,
         CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS response
@@ -94,6 +94,13 @@ FROM (SELECT conv_id, turn, role, text AS input,
             QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1)
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE role = 'user'"""
+# Every user turn and every answer with a phrase of its own appended, so that
+# screening meets each kind of input and output.
+_PHRASES = "[" + ", ".join(sql_string(p) for p in SEED_PHRASES) + "]"
+PAIRS_SQL = f"""SELECT * REPLACE (input || ' ' || ({_PHRASES})[((conv_id * 7 + turn) % {len(SEED_PHRASES)}) + 1] AS input,
+  CASE WHEN has_response THEN response || ' ' || ({_PHRASES})[((conv_id * 11 + turn * 5 + 16) % {len(SEED_PHRASES)}) + 1]
+       ELSE response END AS response)
+FROM ({RAW_PAIRS_SQL})"""
 
 # --------------------------------------------------------------------------
 # PII (D1-D15, J5, U1)
@@ -130,9 +137,14 @@ register("pii_pages", O.spans_sql(PAGES_SQL, "page_id", "html"))(
 )
 
 # An extra detector appended to the shipped list.
-CUSTOM_PII = [custom_pii_pattern("url", "URL", r"\bhttps?://[A-Za-z0-9./?=&#%_-]+")]
-register("pii_custom", O.spans_sql(PAGES_SQL, "page_id", "html", list(PII_PATTERNS) + CUSTOM_PII))(
-    _spans_query(pages, list(PII_PATTERNS) + CUSTOM_PII, "page_id", "html")
+# The second takes in the space around a number (trimmed after) and bears the
+# type with a digit floor, so short numbers drop out.
+CUSTOM_PII = [
+    custom_pii_pattern("url", "URL", r"\bhttps?://[A-Za-z0-9./?=&#%_-]+"),
+    custom_pii_pattern("phone", "Spaced Number", r"\s\d[\d ]*\s"),
+]
+register("pii_custom", O.spans_sql(SEEDED_SQL, "doc_id", "text", list(PII_PATTERNS) + CUSTOM_PII))(
+    _spans_query(seeded_docs, list(PII_PATTERNS) + CUSTOM_PII)
 )
 
 
@@ -295,9 +307,10 @@ def q_topic_custom(spark, sf):
     return seeded_docs(spark, sf).select("doc_id", outf.topic_reason(F.col("text"), CUSTOM_TOPICS).alias("reason"))
 
 
-# JSON candidates derived from every event row: the props object as is,
-# with trailing text, as an array, a scalar, null, an object with a null
-# field, an object with both required fields, and a bare word.
+# JSON candidates derived from every event row, each holding its whole props
+# object: as is, with trailing text, as one of two required fields, quoted as
+# a scalar, beside a null field, as an array, as the second of both required
+# fields, and after a bare word.
 JSON_FIELDS = ["k", "v"]
 _JSON_K = 8
 
@@ -305,24 +318,26 @@ _JSON_K = 8
 def json_candidates(spark, sf):
     ev = balanced(spark, read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "props"]))
     k = F.col("event_id") % _JSON_K
+    quoted = F.replace(F.replace("props", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     text = (
         F.when(k == 0, F.col("props"))
         .when(k == 1, F.concat(F.col("props"), F.lit(" trailing")))
-        .when(k == 2, F.lit("null"))
-        .when(k == 3, F.col("user_id").cast("string"))
-        .when(k == 4, F.lit('{"k": null, "v": 1}'))
+        .when(k == 2, F.concat(F.lit('{"k": '), F.col("props"), F.lit("}")))
+        .when(k == 3, F.concat(F.lit('"'), quoted, F.lit('"')))
+        .when(k == 4, F.concat(F.lit('{"k": null, "v": '), F.col("props"), F.lit("}")))
         .when(k == 5, F.concat(F.lit("["), F.col("props"), F.lit("]")))
-        .when(k == 6, F.concat(F.lit('{"k": '), F.col("user_id").cast("string"), F.lit(', "v": "'), F.col("event_type"), F.lit('"}')))
-        .otherwise(F.col("event_type"))
+        .when(k == 6, F.concat(F.lit('{"k": '), F.col("user_id").cast("string"), F.lit(', "v": '), F.col("props"), F.lit("}")))
+        .otherwise(F.concat("event_type", F.lit(" "), "props"))
     )
     return ev.select("event_id", text.alias("body"))
 
 
 JSON_SQL = f"""SELECT event_id, CASE event_id % {_JSON_K}
-  WHEN 0 THEN props WHEN 1 THEN props || ' trailing' WHEN 2 THEN 'null' WHEN 3 THEN CAST(user_id AS VARCHAR)
-  WHEN 4 THEN '{{"k": null, "v": 1}}' WHEN 5 THEN '[' || props || ']'
-  WHEN 6 THEN '{{"k": ' || CAST(user_id AS VARCHAR) || ', "v": "' || event_type || '"}}'
-  ELSE event_type END AS body FROM events"""
+  WHEN 0 THEN props WHEN 1 THEN props || ' trailing' WHEN 2 THEN '{{"k": ' || props || '}}'
+  WHEN 3 THEN '"' || replace(replace(props, '\\', '\\\\'), '"', '\\"') || '"'
+  WHEN 4 THEN '{{"k": null, "v": ' || props || '}}' WHEN 5 THEN '[' || props || ']'
+  WHEN 6 THEN '{{"k": ' || CAST(user_id AS VARCHAR) || ', "v": ' || props || '}}'
+  ELSE event_type || ' ' || props END AS body FROM events"""
 
 
 @register(
@@ -551,7 +566,12 @@ def pairs(spark, sf, how="left"):
     detectors work on; a sort-merge join at scale already has enough
     partitions, a broadcast join keeps the scan's few)."""
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    return balanced(spark, conversation_pairs(conv, how))
+    raw = conversation_pairs(conv, how)
+    answered = F.col("has_response") if "has_response" in raw.columns else F.lit(True)
+    raw = raw.withColumn("_in", F.col("conv_id") * 7 + F.col("turn")).withColumn("_out", F.col("conv_id") * 11 + F.col("turn") * 5 + 16)
+    both = seeded(raw, "_in", "input", "input")
+    both = both.withColumn("response", F.when(answered, seeded_text("_out", "response")).otherwise(F.col("response")))
+    return balanced(spark, both.drop("_in", "_out"))
 
 
 _PAIR_OV = O.output_verdict_sql("response", "live")
@@ -600,7 +620,7 @@ def q_screen_pairs(spark, sf):
 
 @register(
     "response_join",
-    f"SELECT request_id, has_response, length(response)::BIGINT AS response_chars FROM ({PAIRS_SQL})",
+    f"SELECT request_id, has_response, length(response)::BIGINT AS response_chars FROM ({RAW_PAIRS_SQL})",
 )
 def q_response_join(spark, sf):
     c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])

@@ -56,12 +56,15 @@ def spans_sql(src: str, key: str, text: str, pats: Sequence[PiiPattern] = PII_PA
                 f"NOT (pidx = {i} AND length(regexp_replace(value, '[^0-9]', '', 'g')) < {p.min_digits})"
             )
     where = (" WHERE " + " AND ".join(floors)) if floors else ""
+    # a detector whose matches may be padded keeps the trimmed value
+    padded = ", ".join(str(i) for i, p in enumerate(pats) if p.may_pad)
+    trimmed = f"CASE WHEN pidx IN ({padded}) THEN regexp_replace(mm[i], '^\\s+|\\s+$', '', 'g') ELSE mm[i] END" if padded else "mm[i]"
     return f"""
 WITH src AS ({src}),
 m AS ({' UNION ALL '.join(parts)}),
 e AS (SELECT k, pidx, mm, gg, unnest(range(1, len(mm) + 1)) AS i FROM m WHERE len(mm) > 0),
 s AS (
-  SELECT k, pidx, i, mm[i] AS value,
+  SELECT k, pidx, i, {trimmed} AS value,
     (list_sum(list_transform(gg[1:i], lambda x: length(x)))
      + coalesce(list_sum(list_transform(mm[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
   FROM e),

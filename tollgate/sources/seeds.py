@@ -9,7 +9,7 @@ and in the DuckDB oracle (``seeded_sql``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import sql_string
@@ -49,10 +49,14 @@ SEED_PHRASES = (
 )
 
 
-def seeded(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text") -> DataFrame:
+def seeded_text(key: str, text: str) -> Column:
     k = len(SEED_PHRASES)
     phrase = F.element_at(F.array(*[F.lit(p) for p in SEED_PHRASES]), (F.col(key) % k + 1).cast("int"))
-    return df.withColumn(out, F.concat(F.col(text), F.lit(" "), phrase))
+    return F.concat(F.col(text), F.lit(" "), phrase)
+
+
+def seeded(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "text") -> DataFrame:
+    return df.withColumn(out, seeded_text(key, text))
 
 
 def seeded_sql(table: str = "documents", key: str = "doc_id", text: str = "text", cols: str = "doc_id") -> str:
