@@ -71,7 +71,9 @@ def thinned(df: DataFrame, rows: int, seed: int, total: int | None = None) -> Da
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
              rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so few texts are
-    Python strings at a time."""
+    Python strings at a time. The session's Arrow batches are made as small:
+    a batch of long texts is held by the executor and the worker at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
