@@ -357,6 +357,8 @@ def test_language_backs_off_to_shorter_grams():
     assert model.word("zz").tolist() == pytest.approx([-5 * 0.49, -0.49])
     assert model.word("qy").tolist() == pytest.approx([-(0.7**4), -4 * 0.7**4])
     assert model.word("0").tolist() == [0, 0]
+    assert language.words_of("½ ² a² 7b ab_c") == ["a²", "b", "ab", "c"]
+    assert model.predict(["½ ² 12", "known ½"]) == (["und", "a"], [0.0, pytest.approx(1 / (1 + np.exp(-1)))])
 
 
 def test_quality_held_out_accuracy_and_edges(spark, docs, edges, none):

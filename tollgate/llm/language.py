@@ -44,6 +44,12 @@ CACHE_CELLS = 1_500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Its runs of letters. Numerals that are no decimal digits (a half, a
+    superscript two) match the pattern too, but make no word on their own."""
+    return [w for w in WORD.findall(text) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     w = word if n == 1 else f"^{word}$"
     return [w[i:i + n] for i in range(len(w) - n + 1)]
@@ -72,7 +78,7 @@ class LanguageModel:
 
     def chunk(self, c: str) -> tuple[np.ndarray, int]:
         """Sum over the words of a chunk without white space, and their count."""
-        found = WORD.findall(c)
+        found = words_of(c)
         total = np.zeros(len(self.languages))
         for w in found:
             total = total + self.word(w)
@@ -127,7 +133,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column("_lang").to_pylist(), strings(b, "_text"), strict=True):
-                seen[lang].update(WORD.findall(text.lower()))
+                seen[lang].update(words_of(text.lower()))
             flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             cols = list(zip(*flat, strict=True)) if flat else [[], [], []]
             yield pa.RecordBatch.from_arrays(

@@ -15,9 +15,9 @@ one row before the keys are made.
 
 Defined results: a null URL or one without ``://`` has an empty host and
 path, no rule, and the default verdict; an empty path fits only rules with an
-empty path; two rules of one length that both fit cannot differ in
-text; of a rule listed twice, block goes before allow; null ids and repeated
-rows are judged like any other row; an empty table gives no rows.
+empty path; of fitting rules of one length, and of a rule listed twice, block goes
+before allow and then the later in text order; null ids and repeated rows are
+judged like any other row; an empty table gives no rows.
 """
 
 from __future__ import annotations
