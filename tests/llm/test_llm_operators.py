@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tollgate.llm import ann, byte_bpe, counts, exact_dedup, language, packing, quality, sharding, simhash, url_filter
+from tollgate.llm import ann, byte_bpe, common, counts, exact_dedup, language, packing, quality, sharding, simhash, url_filter
 from tollgate.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -364,6 +364,7 @@ def test_language_backs_off_to_shorter_grams():
 def test_quality_held_out_accuracy_and_edges(spark, docs, edges, none):
     sf = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert len({quality.learn_from_labels(t, labels).prior for t in (table, table)}) == 1
     out = quality.quality_query(table, labels).join(labels, "doc_id").filter("held_out").collect()
     good = [r["score"] for r in out if r["quality"] == 1]
     bad = [r["score"] for r in out if r["quality"] == 0]
@@ -378,6 +379,13 @@ def test_quality_held_out_accuracy_and_edges(spark, docs, edges, none):
     assert kept.columns == edges.columns
 
 
+def test_keys_are_thinned_alike_in_any_order(spark):
+    keys = spark.range(20_000).toDF("k")
+    one, other = (sorted(r["k"] for r in common.thinned_keys(t, 4000, 41).collect()) for t in (keys, keys.repartition(7).orderBy(F.desc("k"))))
+    assert one == other and 3700 < len(one) < 4300
+    assert common.thinned_keys(keys, 30_000, 41).count() == 20_000 and common.thinned_keys(keys.limit(0), 5, 41).count() == 0
+
+
 def test_non_negative_risk_by_finite_differences():
     rng = np.random.default_rng(0)
     for shift in (-3.0, 3.0):  # the negative part below and above zero

@@ -68,6 +68,13 @@ def thinned(df: DataFrame, rows: int, seed: int, total: int | None = None) -> Da
     return df.filter(F.rand(seed) < F.lit(min(1.0, rows / max(1, total))))
 
 
+def thinned_keys(keys: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows of a table of distinct keys, drawn by the hash of
+    the key: the same ones however a shuffle orders the rows."""
+    share, cells = min(1.0, rows / max(1, keys.count())), 1 << 30
+    return keys.filter(F.pmod(F.xxhash64(*keys.columns, F.lit(seed)), F.lit(cells)) < F.lit(int(share * cells)))
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
              rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so few texts are

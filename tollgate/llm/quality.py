@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, fold, map_text, strings, thinned
+from .common import by_value, fold, map_text, strings, thinned, thinned_keys
 
 by_value(__name__)
 
@@ -200,7 +200,7 @@ def fit_quality(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", t
     base = docs if exclude is None else docs.filter(~F.coalesce(exclude, F.lit(False)))
     base = base.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     known = positives.select(F.col(id_col).alias("_id")).dropDuplicates()
-    ids = thinned(base.select("_id").dropDuplicates().join(known, "_id", "left_semi"), max_positives, 41)
+    ids = thinned_keys(base.select("_id").dropDuplicates().join(known, "_id", "left_semi"), max_positives, 41)
     trusted = base.join(F.broadcast(ids), "_id", "left_semi").dropDuplicates(["_id"])
     net, prior = fit(_gather(trusted), _gather(thinned(base, max_unlabelled, 43)))
     return QualityModel(net, prior)
