@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -386,6 +387,16 @@ def test_keys_are_thinned_alike_in_any_order(spark):
     assert common.thinned_keys(keys, 30_000, 41).count() == 20_000 and common.thinned_keys(keys.limit(0), 5, 41).count() == 0
 
 
+def test_long_texts_come_in_small_batches(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.get_total_buffer_size()])], ["n", "size"])
+
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("t"))
+    got = common.map_text(rows, run, "n long, size long").agg(F.sum("n"), F.max("size")).first()
+    assert got[0] == 300 and got[1] < 2 * common.BATCH_BYTES
+
+
 def test_non_negative_risk_by_finite_differences():
     rng = np.random.default_rng(0)
     for shift in (-3.0, 3.0):  # the negative part below and above zero

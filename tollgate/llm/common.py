@@ -75,12 +75,19 @@ def thinned_keys(keys: DataFrame, rows: int, seed: int) -> DataFrame:
     return keys.filter(F.pmod(F.xxhash64(*keys.columns, F.lit(seed)), F.lit(cells)) < F.lit(int(share * cells)))
 
 
+#: Bytes of an Arrow batch of text. A batch is held by the executor and by its
+#: Python worker at once, and again as Python strings.
+BATCH_BYTES = 8 << 20
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
              rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows, so few texts are
-    Python strings at a time. The session's Arrow batches are made as small:
-    a batch of long texts is held by the executor and the worker at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * rows))
+    Python strings at a time. The session's Arrow batches are made as small,
+    in rows and, for long texts, in bytes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
