@@ -349,6 +349,22 @@ def test_language_held_out_accuracy_and_edges(spark, docs, edges, none):
     assert kept.columns == edges.columns and kept.filter("doc_id in (4, 5, 6)").count() == 0
 
 
+def test_language_of_three_short_documents_is_learned(spark, docs):
+    rare = {"vi": ["chúng tôi đi học mỗi ngày", "trời hôm nay rất đẹp", "tôi thích đọc sách mỗi ngày"],
+            "zh": ["我们每天去学校读书", "今天的天气很好", "我喜欢每天读书"]}
+    few = spark.createDataFrame([(None, t, x) for x, ts in rare.items() for t in ts], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(few)
+    for limits in ({}, {"max_words": 200, "max_grams": 200}):  # the common words alone fill the list
+        model = language.fit_language(both, **limits)
+        assert model.languages == ["de", "en", "es", "fr", "vi", "zh"]
+        assert model.predict(["hôm nay chúng tôi đọc sách", "今天我们去读书"])[0] == ["vi", "zh"]
+        assert set(model.words) >= {"chúng", "我们每天去学校读书"} and "我" in model.grams[1]
+        out = language.predict_language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        assert np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.95
+    unlisted = language.fit_language(docs.filter("lang = 'en'").unionByName(docs.limit(0)), max_words=1)
+    assert len(unlisted.words) == 1 and len(unlisted.grams[4]) > 1000  # n-grams of the words that are not listed
+
+
 def test_language_backs_off_to_shorter_grams():
     one = lambda a, b: np.array([a, b])
     model = language.LanguageModel(["a", "b"], {"known": one(-1.0, -2.0)},

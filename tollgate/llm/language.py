@@ -9,8 +9,11 @@ posterior of the best language under equal priors.
 
 The model is fitted on a bounded sample (about ``per_language`` labelled
 documents of each of the ``max_languages`` most frequent languages, whole
-texts, drawn at random by a fixed seed) and kept to ``max_words`` words and ``max_grams`` n-grams of each length, the most
-frequent ones. Prediction reads every whole text in one pass without a
+texts, drawn at random by a fixed seed). N-grams are counted over all sampled
+words. Each language has its own ``max_words`` most frequent words and
+``max_grams`` n-grams of each length, so a language with few documents does
+not compete with the others for a place; the languages are those of the
+labelled rows, whatever their words. Prediction reads every whole text in one pass without a
 shuffle and uses the text alone.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
@@ -21,7 +24,6 @@ other; an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -30,10 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, fold, map_text, strings, worker_store
+from .common import by_value, fold, map_text, strings, worker_store, written
 
 by_value(__name__)
 
@@ -41,6 +44,9 @@ UNKNOWN = "und"
 LENGTHS = (4, 3, 2, 1)
 DISCOUNT = 0.7
 CACHE_CELLS = 1_500_000
+#: Entries that a worker counts before it hands them on.
+GRAMS_HELD = 200_000
+CELLS = 1 << 30
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,6 +61,17 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i:i + n] for i in range(len(w) - n + 1)]
 
 
+class Rows(dict):
+    """Entry to its row of one matrix, which is shipped as one."""
+
+    def __reduce__(self):
+        return _rows, (list(self), np.array(list(self.values())))
+
+
+def _rows(entries: list[str], matrix: np.ndarray) -> Rows:
+    return Rows(zip(entries, matrix, strict=True))
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by language for words and for n-grams by length."""
@@ -120,12 +137,21 @@ class LanguageModel:
         return names, scores
 
 
-def _sampled(docs: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+def _sizes(docs: DataFrame, max_languages: int) -> DataFrame:
+    return docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages)
+
+
+def _sampled(docs: DataFrame, sizes: list[Row], per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, each drawn by itself.
     The table of language sizes is bounded, so it is broadcast and the texts
     are not shuffled."""
-    sizes = docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages)
-    return docs.join(F.broadcast(sizes), "_lang").filter(F.rand(37) * F.col("_n") < per_language).select("_lang", "_text")
+    table = docs.sparkSession.createDataFrame(sizes, "_lang string, _n long")
+    return docs.join(F.broadcast(table), "_lang").filter(F.rand(37) * F.col("_n") < per_language).select("_lang", "_text")
+
+
+def _counted(flat: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*flat, strict=True)) if flat else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if x == "n" else pa.string()) for c, x in zip(cols, names, strict=True)], names)
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -134,50 +160,82 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             seen: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(b.column("_lang").to_pylist(), strings(b, "_text"), strict=True):
                 seen[lang].update(words_of(text.lower()))
-            flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
-            cols = list(zip(*flat, strict=True)) if flat else [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
-                ["lang", "word", "n"])
+            yield _counted([(lang, w, n) for lang, c in seen.items() for w, n in c.items()], ["lang", "word", "n"])
 
     part = map_text(rows, run, "lang string, word string, n long")
     return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _smoothed(counts: dict[str, dict[str, int]], languages: list[str], add: float = 0.5) -> dict[str, np.ndarray]:
-    """Log frequency of each entry in each language."""
-    total: Counter = Counter()
-    for by in counts.values():
-        total.update(by)
-    base = np.array([math.log(total[x] + add * (len(counts) + 1)) for x in languages])
-    return {w: np.array([math.log(by.get(x, 0) + add) for x in languages]) - base for w, by in counts.items()}
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """``lang, gram, n`` of the n-grams of all lengths; an n-gram's length is its ``n``."""
 
-
-def _gram_table(words: dict[str, dict[str, int]], n: int, languages: list[str], limit: int) -> dict[str, np.ndarray]:
-    """The most frequent n-grams of the word list, each word by its count."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for w, by in words.items():
-        for g in grams(w, n):
-            counts[g].update(by)
-    top = sorted(counts, key=lambda g: (-sum(counts[g].values()), g))[:limit]
-    return _smoothed({g: counts[g] for g in top}, languages)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, w, times in zip(b.column("lang").to_pylist(), strings(b, "word"), b.column("n").to_pylist(), strict=True):
+                for n in LENGTHS:
+                    for g in grams(w, n):
+                        seen[lang, g] += times
+                if len(seen) > GRAMS_HELD:
+                    yield _counted([(*k, n) for k, n in seen.items()], ["lang", "gram", "n"])
+                    seen.clear()
+            yield _counted([(*k, n) for k, n in seen.items()], ["lang", "gram", "n"])
+
+    part = map_text(words, run, "lang string, gram string, n long")
+    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _listed(counts: DataFrame, quota: int) -> DataFrame:
+    """``size, entry, langs, ns``: the ``quota`` most frequent entries of each
+    language and size, with their counts in every language. Where the quota
+    ends among equal counts, a hash of the entry decides. Only the table of
+    distinct counts goes through a window."""
+    by = Window.partitionBy("size", "lang").orderBy(F.desc("n"))
+    steps = counts.groupBy("size", "lang", "n").agg(F.count(F.lit(1)).alias("_m"))
+    steps = steps.withColumn("_above", F.sum("_m").over(by) - F.col("_m")).filter(F.col("_above") < quota)
+    drawn = F.pmod(F.xxhash64("entry"), F.lit(CELLS)) < (F.lit(quota) - F.col("_above")) / F.col("_m") * CELLS
+    marked = counts.join(F.broadcast(steps), ["size", "lang", "n"], "left").withColumn("_in", F.coalesce(drawn, F.lit(False)))
+    return marked.groupBy("size", "entry").agg(
+        F.max("_in").alias("_in"), F.collect_list(F.struct("lang", "n")).alias("by")
+    ).filter("_in").select("size", "entry", F.col("by.lang").alias("langs"), F.col("by.n").alias("ns"))
+
+
+def _smoothed(listed: pa.Table, totals: dict[str, int], languages: list[str], add: float = 0.5) -> Rows:
+    """Log frequency of each entry in each language. What a language lacks
+    costs the same in all of them, however few its texts."""
+    at = {x: i for i, x in enumerate(languages)}
+    rates = np.zeros((listed.num_rows, len(languages)))
+    for row, langs, ns in zip(rates, listed.column("langs").to_pylist(), listed.column("ns").to_pylist(), strict=True):
+        for x, n in zip(langs, ns, strict=True):
+            row[at[x]] = n / totals[x]
+    return Rows(zip(listed.column("entry").to_pylist(), np.log(rates + add / max(totals.values(), default=1)), strict=True))
+
+
+def _tables(counts: DataFrame, languages: list[str], most: int, max_languages: int) -> dict[int, Rows]:
+    """Log frequencies by size. A language has ``most`` entries of a size;
+    with many languages fewer, so that there are never more numbers than
+    ``most`` entries in ``max_languages`` languages have."""
+    quota = max(1, min(most, most * max_languages // max(1, len(languages)) ** 2))
+    totals: dict[int, dict[str, int]] = defaultdict(dict)
+    for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
+        totals[r["size"]][r["lang"]] = r["n"]
+    listed = _listed(counts, quota).toArrow()
+    return {size: _smoothed(listed.filter(pc.equal(listed.column("size"), size)), by, languages) for size, by in totals.items()}
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  per_language: int = 2500, max_words: int = 40000, max_grams: int = 20000,
                  max_languages: int = 1000) -> LanguageModel:
     """Learn from the rows of ``docs`` whose ``lang_col`` is not null."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    counts = _word_counts(_sampled(rows.filter("_lang is not null and _text is not null"), per_language, max_languages))
-    top = counts.groupBy("word").agg(
-        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    ).orderBy(F.desc("all"), "word").limit(max_words).collect()
-    listed = {r["word"]: r["by"] for r in top}
-    languages = sorted({x for by in listed.values() for x in by})
-    words = _smoothed(listed, languages)
-    tables = {n: _gram_table(listed, n, languages, max_grams) for n in LENGTHS}
-    key = uuid.uuid4().hex
-    return LanguageModel(languages, words, tables, key)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    rows = rows.filter("_lang is not null and _text is not null")
+    sizes = _sizes(rows, max_languages).collect()
+    languages = sorted(r["_lang"] for r in sizes)
+    counts = written(_word_counts(_sampled(rows, sizes, per_language)), "language-words")
+    words = _tables(counts.select(F.lit(0).alias("size"), "lang", F.col("word").alias("entry"), "n"), languages, max_words, max_languages)
+    shorter = written(_gram_counts(counts).select(F.length("gram").alias("size"), "lang", F.col("gram").alias("entry"), "n"), "language-grams")
+    tables = _tables(shorter, languages, max_grams, max_languages)
+    return LanguageModel(languages, words.get(0, Rows()), {n: tables.get(n, Rows()) for n in LENGTHS}, uuid.uuid4().hex)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
