@@ -121,6 +121,37 @@ def test_conversation_pairing_with_gaps_repeats_and_a_long_conversation(spark):
     assert conversation_pairs(conv, "inner", 50).count() == sum(f for _, _, f in want.values())
 
 
+SHARED_TURNS = [
+    (1, 1, "user", "first"), (1, 1, "user", "other"), (1, 1, "user", "other"), (1, 2, "assistant", "yes"),  # two prompts in one turn
+    (2, 1, "user", "ask"), (2, 1, "assistant", "answer"), (2, 2, "user", "again"), (2, 2, "assistant", "more"),  # a shared number
+    (3, 1, "user", "real"), (3, 1, "user", None), (3, 1, None, "x"), (3, 4, "assistant", None), (3, 4, "assistant", "well"), (3, 4, None, None),
+    (None, 1, "user", "lost"), (4, None, "user", "lost"), (None, 1, "assistant", "no"),
+]
+
+
+def test_every_prompt_of_a_turn_is_paired(spark):
+    conv = spark.createDataFrame(SHARED_TURNS, "conv_id long, turn long, role string, text string").repartition(3)
+    for bucket in (1, 1000):
+        got = {(r["request_id"], r["input"], r["response"], r["has_response"]) for r in conversation_pairs(conv, "left", bucket, keyless=True).collect()}
+        keyed = {("1-1", "first", "", False), ("1-1-2", "other", "yes", True), ("2-1", "ask", "answer", True), ("2-2", "again", "more", True),
+                 ("3-1", None, "", False), ("3-1-2", "real", "well", True)}
+        assert got == keyed | {("1", "lost", "", False), ("4", "lost", "", False)}
+        assert conversation_pairs(conv, "left", bucket).count() == len(keyed) and conversation_pairs(conv, "inner", bucket).count() == 4
+
+
+def test_queries_screen_every_prompt(spark, tmp_path):
+    from tollgate.plans.catalog import QUERIES
+
+    conv = spark.createDataFrame(SHARED_TURNS, "conv_id long, turn long, role string, text string")
+    conv.write.parquet(str(tmp_path / "conversations.parquet"))
+    want = ["1", "1-1", "1-1-2", "2-1", "2-2", "3-1", "3-1-2", "4"]
+    for name in ("screen_conversations", "screen_pairs", "audit_log_rows"):
+        assert sorted(r["request_id"] for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+    from tollgate.plans.catalog import pairs
+
+    assert {r["input"] is None for r in pairs(spark, str(tmp_path)).filter("conv_id is null or turn is null").collect()} == {False}
+
+
 def test_responses_to_one_request_do_not_multiply_it(spark):
     from tollgate.operators.pairs import response_join
 

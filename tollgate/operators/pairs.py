@@ -32,35 +32,64 @@ def response_join(requests: DataFrame, responses: DataFrame, key: str | list[str
     )
 
 
-def conversation_pairs(conversations: DataFrame, how: str = "inner", bucket: int = 1000) -> DataFrame:
-    """Each user turn with the directly following turn, if that is the
+def _request_id() -> Column:
+    again = F.when(F.col("_k") > 1, F.col("_k").cast("string"))
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), again)
+
+
+def _followed(conversations: DataFrame, bucket: int) -> DataFrame:
+    """The distinct user rows with keys, each with its request id and the
+    row that follows it (``nxt``, null for the last one)."""
+    turns = conversations.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text").distinct()
+    user, blank = F.coalesce(F.col("role") == "user", F.lit(False)), F.col("text").isNull()
+    place = F.when(user, F.when(blank, 1).otherwise(2)).when(F.col("role") == "assistant", F.when(blank, 4).otherwise(3))
+    turns = turns.withColumns({"_b": F.floor(F.col("turn") / bucket), "said": F.struct("role", "text")})
+    asked = F.max(user).over(Window.partitionBy("conv_id", "_b", "turn"))
+    turns = turns.withColumn("_place", F.coalesce(place, F.when(asked, 0).otherwise(5)))
+    order = ["turn", "_place", "role", "text"]
+    inside = Window.partitionBy("conv_id", "_b").orderBy(*order)
+    again = Window.partitionBy("conv_id", "_b", "turn", "role").orderBy("_place", "text")
+    turns = turns.withColumn("_next", F.lead("said").over(inside)).withColumn("_k", F.row_number().over(again))
+    heads = turns.groupBy("conv_id", "_b").agg(F.min_by("said", F.struct(*order)).alias("_head"))
+    across = Window.partitionBy("conv_id").orderBy("_b")
+    after = heads.select("conv_id", "_b", F.lead("_head").over(across).alias("_after"))
+    users = turns.filter(F.col("role") == "user").join(after, ["conv_id", "_b"], "left")
+    return users.select("conv_id", "turn", "text", _request_id().alias("request_id"), F.coalesce("_next", "_after").alias("nxt"))
+
+
+def _without_keys(conversations: DataFrame) -> DataFrame:
+    """The distinct user rows that belong to no place in a conversation."""
+    rows = conversations.filter("role = 'user' and (conv_id is null or turn is null)").select("conv_id", "turn", "text").distinct()
+    return rows.withColumn("request_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+
+
+def conversation_pairs(conversations: DataFrame, how: str = "inner", bucket: int = 1000, keyless: bool = False) -> DataFrame:
+    """Each user row with the directly following row, if that is the
     assistant's. "Following" is by order, so gaps in the turn numbers pair as
-    they should; of several rows of one turn the smallest (role, text) counts.
+    they should. Only fully equal rows are reduced to one. Rows of one turn
+    number follow each other as user, assistant, each by text; a null text goes
+    before the prompts and after the answers, and a row of no or another role
+    before the prompts if there are any, else last: it comes between no prompt
+    and its answer. A further prompt of one turn has its number in its request id.
 
-    The next turn is found by a window over buckets of ``bucket`` turn
+    The next row is found by a window over buckets of ``bucket`` turn
     numbers of a conversation, so one huge conversation spreads over many
-    tasks; the last turn of a bucket takes the first of the next bucket that
+    tasks; the last row of a bucket takes the first of the next bucket that
     has any, found among one row per bucket. ``how='inner'`` keeps answered
-    turns only; ``'left'`` keeps every user turn (unanswered ones get an
-    empty response)."""
-    said = F.min(F.struct("role", "text")).alias("said")
-    turns = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(said)
-    turns = turns.withColumn("_b", F.floor(F.col("turn") / bucket))
-    inside = Window.partitionBy("conv_id", "_b").orderBy("turn")
-    turns = turns.withColumn("_next", F.lead("said").over(inside))
-    heads = turns.groupBy("conv_id", "_b").agg(F.min_by("said", "turn").alias("_head"))
-    across = Window.partitionBy("conv_id").orderBy("_b")
-    after = heads.select("conv_id", "_b", F.lead("_head").over(across).alias("_after"))
-    users = turns.filter(F.col("said.role") == "user").join(after, ["conv_id", "_b"], "left")
-    nxt = F.coalesce("_next", "_after")
+    rows only; ``'left'`` keeps every user row with keys (unanswered ones get
+    an empty response), with ``keyless`` also those with a null ``conv_id`` or
+    ``turn``, which nothing can follow."""
+    users = _followed(conversations, bucket)
+    nxt = F.col("nxt")
     answer = F.when(nxt["role"] == "assistant", nxt["text"])
-    out = users.select(
-        "conv_id", "turn", F.col("said.text").alias("input"), answer.alias("response"),
-        answer.isNotNull().alias("has_response"),
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
-    )
+    out = users.select("conv_id", "turn", F.col("text").alias("input"), answer.alias("response"),
+                       answer.isNotNull().alias("has_response"), "request_id")
     if how == "inner":
         return out.filter("has_response").drop("has_response")
+    if keyless:
+        out = out.unionByName(_without_keys(conversations).select(
+            "conv_id", "turn", F.col("text").alias("input"), F.lit(None).cast("string").alias("response"),
+            F.lit(False).alias("has_response"), "request_id"))
     return out.withColumn("response", F.coalesce("response", F.lit("")))
 
 

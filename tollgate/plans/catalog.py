@@ -566,9 +566,10 @@ def pairs(spark, sf, how="left"):
     detectors work on; a sort-merge join at scale already has enough
     partitions, a broadcast join keeps the scan's few)."""
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    raw = conversation_pairs(conv, how)
+    raw = conversation_pairs(conv, how, keyless=True)
     answered = F.col("has_response") if "has_response" in raw.columns else F.lit(True)
-    raw = raw.withColumn("_in", F.col("conv_id") * 7 + F.col("turn")).withColumn("_out", F.col("conv_id") * 11 + F.col("turn") * 5 + 16)
+    conv_id, turn = (F.coalesce(F.col(c), F.lit(0)) for c in ("conv_id", "turn"))
+    raw = raw.withColumn("_in", conv_id * 7 + turn).withColumn("_out", conv_id * 11 + turn * 5 + 16)
     both = seeded(raw, "_in", "input", "input")
     both = both.withColumn("response", F.when(answered, seeded_text("_out", "response")).otherwise(F.col("response")))
     return balanced(spark, both.drop("_in", "_out"))
