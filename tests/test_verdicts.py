@@ -152,6 +152,17 @@ def test_queries_screen_every_prompt(spark, tmp_path):
     assert {r["input"] is None for r in pairs(spark, str(tmp_path)).filter("conv_id is null or turn is null").collect()} == {False}
 
 
+def test_response_join_follows_the_order_of_turns(spark, tmp_path):
+    from tollgate.plans.catalog import QUERIES
+
+    gaps = [(7, 1, "user", "a"), (7, 5, "assistant", "late"), (8, 1, "user", "b"), (8, 1, "user", "b"), (8, 2, "assistant", "yes"), (8, 2500, "user", "c"), (8, 9000, "assistant", "later")]
+    conv = spark.createDataFrame(SHARED_TURNS + gaps, "conv_id long, turn long, role string, text string")
+    conv.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r["request_id"], r["has_response"], r["response_chars"]) for r in QUERIES["response_join"](spark, str(tmp_path)).collect())
+    assert got == [("1", False, 0), ("1-1", False, 0), ("1-1-2", True, 3), ("2-1", True, 6), ("2-2", True, 4), ("3-1", False, 0),
+                   ("3-1-2", True, 4), ("4", False, 0), ("7-1", True, 4), ("8-1", True, 3), ("8-2500", True, 5)]
+
+
 def test_responses_to_one_request_do_not_multiply_it(spark):
     from tollgate.operators.pairs import response_join
 

@@ -93,6 +93,15 @@ def conversation_pairs(conversations: DataFrame, how: str = "inner", bucket: int
     return out.withColumn("response", F.coalesce("response", F.lit("")))
 
 
+def recorded_requests(conversations: DataFrame, bucket: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Requests and recorded responses for J1: ``request_id`` of every
+    distinct user row, and ``request_id, response`` of those that the
+    assistant's row follows."""
+    users = _followed(conversations, bucket)
+    requests = users.select("request_id").unionByName(_without_keys(conversations).select("request_id"))
+    return requests, users.filter("nxt.role = 'assistant'").select("request_id", F.col("nxt.text").alias("response"))
+
+
 def keyword_route(text: Column) -> Column:
     """V4: intent of a processed prompt by lower-cased substring, first
     match wins; ``general`` otherwise.

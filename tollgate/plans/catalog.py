@@ -25,7 +25,7 @@ from ..functions.rules import (
     custom_pii_pattern,
 )
 from ..operators import audit, dashboard
-from ..operators.pairs import conversation_pairs, keyword_route, response_join, screen_requests
+from ..operators.pairs import conversation_pairs, keyword_route, recorded_requests, response_join, screen_requests
 from ..operators.policy import DEFAULT_POLICY
 from ..operators.verdict import display_status, screen_input, screen_output
 from ..sources.seeds import SEED_PHRASES, seeded, seeded_sql, seeded_text
@@ -625,13 +625,7 @@ def q_screen_pairs(spark, sf):
 )
 def q_response_join(spark, sf):
     c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-    reqs = c.filter(F.col("role") == "user").select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id")
-    )
-    resps = c.filter(F.col("role") == "assistant").select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("request_id"),
-        F.col("text").alias("response"),
-    )
+    reqs, resps = recorded_requests(c)
     j = response_join(reqs, resps)
     return j.select("request_id", "has_response", F.length("response").cast("bigint").alias("response_chars"))
 
