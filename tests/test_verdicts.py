@@ -172,6 +172,16 @@ def test_responses_to_one_request_do_not_multiply_it(spark):
     assert got == [("a", "one", True), ("b", "", False)]
 
 
+def test_a_response_goes_before_a_failed_one(spark):
+    from tollgate.operators.pairs import response_join
+
+    req = spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string")
+    res = spark.createDataFrame([("a", None, 1), ("a", "real", 2), ("b", None, 3)], "request_id string, response string, attempt int")
+    got = response_join(req, res)
+    assert got.columns == ["request_id", "response", "attempt", "has_response"]
+    assert sorted(map(tuple, got.collect())) == [("a", "real", 2, True), ("b", "", 3, False), ("c", "", None, False)]
+
+
 def test_keyword_route(spark):
     df = spark.createDataFrame([("A Refund?",), ("deliveries",), ("COST",), ("hi",), ("shipping return",)], "t string")
     assert [r.i for r in df.select(keyword_route(F.col("t")).alias("i")).collect()] == [

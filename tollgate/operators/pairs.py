@@ -21,12 +21,13 @@ def response_join(requests: DataFrame, responses: DataFrame, key: str | list[str
                   response: str = "response") -> DataFrame:
     """Requests left-joined to recorded responses by request id. A
     missing response is absent content: the empty string. Of several
-    responses to one request the smallest counts, so no request row is
-    multiplied; they are reduced before the join, map-side first."""
+    responses to one request the smallest counts, a null one only if there is
+    no other, so no request row is multiplied; they are reduced before the join, map-side first."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in responses.columns if c not in keys]
-    one = responses.groupBy(*keys).agg(F.min(F.struct(response, *[c for c in rest if c != response])).alias("_one"))
-    joined = requests.join(one.select(*keys, "_one.*"), key, "left")
+    one = responses.groupBy(*keys).agg(F.min(F.struct(
+        F.col(response).isNull().alias("_failed"), response, *[c for c in rest if c != response])).alias("_one"))
+    joined = requests.join(one.select(*keys, "_one.*").drop("_failed"), key, "left")
     return joined.withColumn("has_response", F.col(response).isNotNull()).withColumn(
         response, F.coalesce(F.col(response), F.lit(""))
     )
