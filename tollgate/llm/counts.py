@@ -25,9 +25,10 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import by_value, map_text, strings, worker_store
-from .words import CLOSING, Chunks, lowered, plain, spelled, word_pattern
+from .words import CLOSING, OLD_LETTERS, Chunks, plain, spelled, word_pattern
 
 by_value(__name__)
 
@@ -73,34 +74,40 @@ class TokenCounter:
             suffix = spec["model"].get("end_of_word_suffix") or ""
             find = word_pattern(spec).findall
             marks = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+            library = Tokenizer.from_str(vocabulary.decode("utf-8"))
+            normal, cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
             def of_word(word: str) -> int:
-                symbols = list(spelled(word))
+                symbols = list(word)
                 symbols[-1] += suffix
                 return len(symbols) - merges_of(symbols, ranks)
 
-            def of_chunk(chunk: str) -> int:
-                if chunk.isalpha():
-                    return words[chunk]
-                if chunk[-1] in CLOSING and chunk[:-1].isalpha():
-                    return words[chunk[:-1]] + words[chunk[-1]]
-                return sum(map(words.__getitem__, find(chunk)))
+            def of_text(text: str) -> int:
+                """The words as the library normalises and cuts them, with
+                its own tables of letters and lower case."""
+                return sum(words[w] for w, _ in cut(normal(text)))
 
-            words = Chunks(of_word)
+            def of_chunk(chunk: str) -> int:
+                if len(chunk) > 1 and chunk[-1] in CLOSING and OLD_LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
+                    return chunks[chunk[:-1]] + chunks[chunk[-1]]
+                if not chunk.isascii():
+                    return of_text(chunk)
+                low = chunk.lower()
+                return chunks[low] if low != chunk else sum(words[spelled(w)] for w in find(chunk))
+
+            words, chunks = Chunks(of_word), Chunks(of_chunk)
             store["marks"] = tuple(marks)
             store["split"] = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-            store["words"], store["find"] = words, find
-            store["chunks"] = Chunks(of_chunk)
+            store["words"], store["of_text"], store["chunks"] = words, of_text, chunks
         self.__dict__.update(store)
 
     def count(self, text: str) -> int:
         self.words.trim()
         self.chunks.trim()
         if plain(text, self.marks):
-            return sum(map(self.chunks.__getitem__, lowered(text).split()))
+            return sum(map(self.chunks.__getitem__, text.split()))
         parts = self.split.split(text) if self.split is not None else [text]
-        inside = sum(self.words[w] for p in parts for w in self.find(lowered(p)))
-        return inside + len(parts) - 1
+        return sum(map(self.of_text, parts)) + len(parts) - 1
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY,

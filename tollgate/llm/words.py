@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable
@@ -28,6 +27,10 @@ CLOSING = frozenset(".,;:!?")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
+#: Letters in every edition of the Unicode tables, with one lower-case letter each.
+OLD_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
 def plain(text: str, marks: tuple[str, ...]) -> bool:
     """Whether white space alone separates the chunks of this text as the
     vocabulary's own normalisation does: no special string inside, no
@@ -35,13 +38,6 @@ def plain(text: str, marks: tuple[str, ...]) -> bool:
     return ODD_SPACE.search(text) is None and not any(m in text for m in marks)
 
 
-def lowered(text: str) -> str:
-    """Composed and in lower case, each character by itself."""
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
-
-
 class Chunks(dict):
     """chunk -> value, computed on first use."""
 
@@ -92,10 +88,13 @@ class WordTokens:
             find, tokenize = word_pattern(spec).findall, library.model.tokenize
 
             def ids(chunk: str) -> bytes:
-                if chunk.isalpha():
-                    return array("I", [t.id for t in tokenize(spelled(chunk))]).tobytes()
-                if chunk[-1] in CLOSING and chunk[:-1].isalpha():
+                if len(chunk) > 1 and chunk[-1] in CLOSING and OLD_LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
                     return chunks[chunk[:-1]] + chunks[chunk[-1]]
+                if not chunk.isascii():  # the library's own tables say what a letter is and which is its lower case
+                    return array("I", library.encode(chunk, add_special_tokens=False).ids).tobytes()
+                low = chunk.lower()
+                if low != chunk:
+                    return chunks[low]
                 return array("I", [t.id for w in find(chunk) for t in tokenize(spelled(w))]).tobytes()
 
             chunks = Chunks(ids)
@@ -108,4 +107,4 @@ class WordTokens:
         if not plain(text, self.marks):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         self.chunks.trim()
-        return b"".join(map(self.chunks.__getitem__, lowered(text).split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
