@@ -66,7 +66,7 @@ def texts(df):
 
 def test_oracles_match(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, SF)

@@ -115,3 +115,21 @@ def keep_rows(docs: DataFrame, stays: DataFrame) -> DataFrame:
     ``stays``, all columns. Places are unique, so the join spreads evenly."""
     places = stays.select(F.col("locator").alias(HIDDEN))
     return docs.withColumn(HIDDEN, locator(docs)).join(places, HIDDEN, "left_semi").select(*[docs[c] for c in docs.columns])
+
+
+#: Keys with more than one in HOT_SHARE of all rows are joined by themselves.
+HOT_SHARE = 1000
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` (a stored table) joined to ``table``, which has one row a key
+    and in ``count`` its number of ``rows``. Keys that hold over one in
+    ``HOT_SHARE`` of all rows are fewer than ``HOT_SHARE`` at any input size:
+    they are broadcast, so a hot key stays spread over the tasks that read it;
+    the other keys are too small to fill a task."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * F.lit(HOT_SHARE) > F.lit(total)
+    hot, rest = table.filter(is_hot).drop(count), table.filter(~is_hot).drop(count)
+    spread = rows.join(F.broadcast(hot), key)
+    dealt = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return spread.unionByName(dealt)
