@@ -98,10 +98,11 @@ def test_alignment_by_brute_force(docs, vocabularies):
 def test_chunked_tokens_equal_the_libraries(vocabularies):
     both = alignment.BothTokens(alignment.open_bytes(alignment.VOCABULARY_A), alignment.open_bytes(alignment.VOCABULARY_B))
     rnd = random.Random(3)
-    pool = [" ", "  ", "\n", "\t", " \n", "\x1c", "\x85", "\xa0", "　", "a", "the", "é", "é", "1", "'s", "!", "<s>", "<0x41>", "᠎", "\x00"]
-    for _ in range(6000):
-        text = "".join(rnd.choice([*pool, chr(rnd.randrange(0x20, 0x3000)), chr(rnd.randrange(0xE000, 0x20000))]) for _ in range(rnd.randrange(20)))
-        assert tuple(np.frombuffer(v, "<u2").tolist() for v in both.encode(text)) == plain_tokens(text, vocabularies), repr(text)
+    pool = [" ", " the", "Ünï", "İ", ", ", "  ", "\n", "\t", " \n", "\x1c", "\x85", "\xa0", "　", "a", "the", "é", "é", "1", "'s", "!", "<s>", "<0x41>", "᠎", "\x00"]
+    texts = ["".join(rnd.choice([*pool, chr(rnd.randrange(0x20, 0x3000)), chr(rnd.randrange(0xE000, 0x20000))]) for _ in range(rnd.randrange(20)))
+             for _ in range(6000)] + [w for c in range(0x3000) for w in ("a" + chr(c) + ". x", "x " + chr(c) + "y, ")]
+    for text, got in zip(texts, both.encode(texts), strict=True):
+        assert tuple(np.frombuffer(v, "<u2").tolist() for v in got) == plain_tokens(text, vocabularies), repr(text)
 
 
 def test_perfect_hash_is_minimal_and_verified():

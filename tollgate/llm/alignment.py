@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import by_value, map_text, strings, worker_store, written
-from .words import LETTERS, Chunks
+from .words import CLOSING, LETTERS, OLD_LETTERS, RecentChunks, spelled
 
 by_value(__name__)
 
@@ -55,12 +55,11 @@ VOCABULARY_A = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY_B = public_tokenizers.path("piece_bpe_32k.model")
 FAN = 16
 GAMMA = 2
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 600_000
 #: Cuts before white space; chunks do not depend on each other under A.
-CHUNK_A = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: Characters on which notions of white space differ or that join its runs.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u2064\u3000\ufeff]")
-CHUNK_B = re.compile(" +[^ ]*")
 MARK = "\u2581"
 
 
@@ -95,7 +94,8 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
 
 
 class BothTokens:
-    """Ids of a text under both vocabularies, by chunk, kept per worker."""
+    """Ids of texts under both vocabularies, kept per worker. A text is cut at
+    white space for A, and each distinct chunk encoded once."""
 
     def __init__(self, a: bytes, b: bytes):
         store = worker_store(f"both-{zlib.crc32(a)}-{zlib.crc32(b)}")
@@ -105,43 +105,39 @@ class BothTokens:
             model = sentencepiece.SentencePieceProcessor(model_proto=b)
             raw_a, raw_b = bytes_of_a(a), bytes_of_b(model)
             kind_a, kind_b = id_type(len(raw_a)), id_type(len(raw_b))
+            tokenize = library.model.tokenize
 
-            def whole_a(text: str) -> bytes:
+            def whole(text: str) -> bytes:
                 return np.array(library.encode(text, add_special_tokens=False).ids, dtype=kind_a).tobytes()
 
-            def whole_b(text: str) -> bytes:
-                return np.array(model.encode(text), dtype=kind_b).tobytes()
-
-            cut = library.pre_tokenizer
-            inner = any(MARK in model.id_to_piece(i).lstrip(MARK) for i in range(model.get_piece_size()))
-            probe = "\ufb01 \u00e9  e\u0301 "
-            store.update(
-                whole_a=whole_a, whole_b=whole_b, raw_b=raw_b, kind_b=kind_b,
-                chunks_a=Chunks(whole_a), chunks_b=Chunks(lambda chunk: whole_b(chunk[1:])),
-                # chunks are independent under the byte-level split and where no piece crosses a space
-                cut_a=library.normalizer is None and "ByteLevel(" in repr(cut) and "use_regex=True" in repr(cut),
-                cut_b=not inner and "".join(model.encode(probe, out_type=str)).replace(MARK, " ") == " " + probe)
+            def chunk_ids(chunk: str) -> bytes:
+                if len(chunk) > 2 and chunk[-1] in CLOSING and OLD_LETTERS.fullmatch(chunk, 1, len(chunk) - 1):
+                    return chunks[chunk[:-1]] + chunks[chunk[-1]]
+                if chunk[0] == " " and OLD_LETTERS.fullmatch(chunk, 1):  # one word of the split
+                    return np.array([t.id for t in tokenize(LETTERS[32] + spelled(chunk[1:]))], dtype=kind_a).tobytes()
+                return whole(chunk)
+
+            chunks = RecentChunks(chunk_ids)
+            split = repr(library.pre_tokenizer)
+            store.update(whole=whole, chunks=chunks, model=model, raw_b=raw_b, kind_b=kind_b,
+                         # chunks are independent of each other under the byte-level split
+                         cut=library.normalizer is None and split.startswith("ByteLevel(") and "use_regex=True" in split)
         self.__dict__.update(store)
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Little-endian ids under A and B; empty if the text has none."""
-        if not text or MARK in text:
-            return b"", b""
-        self.chunks_a.trim(MAX_CHUNKS)
-        self.chunks_b.trim(MAX_CHUNKS)
-        spaced = " " + text
-        if self.cut_b and text[-1] != " ":
-            b = b"".join(map(self.chunks_b.__getitem__, CHUNK_B.findall(spaced)))
-        else:
-            b = self.whole_b(text)
-        data = spaced.encode("utf-8")
-        if b"".join(map(self.raw_b.__getitem__, np.frombuffer(b, self.kind_b).tolist())) != data:
-            return b"", b""
-        if self.cut_a and ODD_SPACE.search(text) is None:
-            a = b"".join(map(self.chunks_a.__getitem__, CHUNK_A.findall(spaced)))
-        else:
-            a = self.whole_a(spaced)
-        return a, b
+    def ids_a(self, spaced: str) -> bytes:
+        if not self.cut or ODD_SPACE.search(spaced) is not None:
+            return self.whole(spaced)
+        self.chunks.trim(MAX_CHUNKS)
+        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(spaced)))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Little-endian ids of each text under A and B; empty if it has none."""
+        for text, b in zip(texts, self.model.encode(texts, num_threads=1), strict=True):
+            spaced = " " + text
+            if text and b"".join(map(self.raw_b.__getitem__, b)) == spaced.encode("utf-8"):
+                yield self.ids_a(spaced), np.array(b, dtype=self.kind_b).tobytes()
+            else:
+                yield b"", b""
 
 
 def id_type(entries: int) -> str:
@@ -311,12 +307,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = BothTokens(a, b)
         for batch in batches:
-            got = [tokens.encode(t) for t in strings(batch, "text")]
+            got = list(tokens.encode(strings(batch, "text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([g[k] for g in got], pa.binary()) for k in (0, 1))],
                                              ["id", "a", "b"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_text(rows, run, rows.select("id").schema.add("a", "binary").add("b", "binary"))
+    return map_text(rows, run, rows.select("id").schema.add("a", "binary").add("b", "binary"), rows=256)
 
 
 def open_bytes(path: str) -> bytes:

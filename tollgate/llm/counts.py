@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import by_value, map_text, strings, worker_store
-from .words import CLOSING, OLD_LETTERS, Chunks, plain, spelled, word_pattern
+from .words import CLOSING, OLD_LETTERS, RecentChunks, plain, spelled, word_pattern
 
 by_value(__name__)
 
@@ -90,12 +90,15 @@ class TokenCounter:
             def of_chunk(chunk: str) -> int:
                 if len(chunk) > 1 and chunk[-1] in CLOSING and OLD_LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
                     return chunks[chunk[:-1]] + chunks[chunk[-1]]
-                if not chunk.isascii():
+                word = OLD_LETTERS.fullmatch(chunk) is not None
+                if not word and not chunk.isascii():
                     return of_text(chunk)
                 low = chunk.lower()
-                return chunks[low] if low != chunk else sum(words[spelled(w)] for w in find(chunk))
+                if low != chunk:
+                    return chunks[low]
+                return words[spelled(chunk)] if word else sum(words[spelled(w)] for w in find(chunk))
 
-            words, chunks = Chunks(of_word), Chunks(of_chunk)
+            words, chunks = RecentChunks(of_word), RecentChunks(of_chunk)
             store["marks"] = tuple(marks)
             store["split"] = regex.compile("|".join(map(regex.escape, marks))) if marks else None
             store["words"], store["of_text"], store["chunks"] = words, of_text, chunks

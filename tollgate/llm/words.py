@@ -54,6 +54,26 @@ class Chunks(dict):
             self.clear()
 
 
+class RecentChunks(Chunks):
+    """Chunks in two generations: those in use outlive a full store."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__(make)
+        self.older: dict = {}
+
+    def __missing__(self, chunk: str):
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+        self[chunk] = value
+        return value
+
+    def trim(self, limit: int = MAX_CHUNKS) -> None:
+        if len(self) > limit // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 #: Byte to printable character, as byte-level vocabularies write bytes.
 def byte_letters() -> dict[int, str]:
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,14 +110,17 @@ class WordTokens:
             def ids(chunk: str) -> bytes:
                 if len(chunk) > 1 and chunk[-1] in CLOSING and OLD_LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
                     return chunks[chunk[:-1]] + chunks[chunk[-1]]
-                if not chunk.isascii():  # the library's own tables say what a letter is and which is its lower case
+                word = OLD_LETTERS.fullmatch(chunk) is not None
+                if not word and not chunk.isascii():  # the library's own tables say what is a letter, and its lower case
                     return array("I", library.encode(chunk, add_special_tokens=False).ids).tobytes()
                 low = chunk.lower()
                 if low != chunk:
                     return chunks[low]
+                if word:
+                    return array("I", [t.id for t in tokenize(spelled(chunk))]).tobytes()
                 return array("I", [t.id for w in find(chunk) for t in tokenize(spelled(w))]).tobytes()
 
-            chunks = Chunks(ids)
+            chunks = RecentChunks(ids)
             store["marks"] = tuple(t["content"] for t in spec.get("added_tokens", []))
             store["library"], store["chunks"] = library, chunks
         self.marks, self.library, self.chunks = store["marks"], store["library"], store["chunks"]
