@@ -1,10 +1,16 @@
 """PII spans and masks against the fixtures and a brute-force reference."""
 
+import dataclasses
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 import jsref
 from tollgate.functions import pii as piif
-from tollgate.functions.rules import PII_PATTERNS, custom_pii_pattern
+from tollgate.functions.pii import with_mask, with_pii
+from tollgate.functions.rules import LONG_RUN, PII_PATTERNS, custom_pii_pattern, email_skip
 from tollgate.sources import fixtures
 
 EDGE = [
@@ -135,3 +141,36 @@ def test_long_row_custom_pattern(spark):
     assert len([w for w in want if w[0] == "badge"]) > 64
     assert [(s.type, s.value, s.start, s.end) for s in rows[0].pii] == [(a, c, d, e) for (a, b, c, d, e) in want]
     assert rows[0].m == jsref.mask(t, want)
+
+
+# ---- long tokens
+
+def _mail_texts(seed, n):
+    rnd = random.Random(seed)
+    parts = ["a", "b", "a.", "a", "_", "-", "%", "@", "@a.bc", "|", "x.yz", " ", "é", ".", "@b", "@@", "q@w.er", "+", "😀"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("shortest", [2, 5, LONG_RUN])
+def test_email_stretches_stepped_over_change_no_span(spark, shortest):
+    email = [dataclasses.replace(p, skip=email_skip(shortest)) for p in PII_PATTERNS if p.type == "email"]
+    texts = _mail_texts(shortest, 4000)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in with_mask(with_pii(df, "text", "pii", email, parts="p"), "text", "pii", "p", "masked").collect()}
+    for i, text in enumerate(texts):
+        want = jsref.spans(text, email)
+        assert [tuple(s) for s in got[i]["pii"]] == want and got[i]["masked"] == jsref.mask(text, want), repr(text)
+
+
+LONG_TOKENS = [("a." * 100_000 + " x@y.com", ["email"]), ("a." * 50_000 + "@ " + "a." * 50_000 + "@b", []), ("x@" + "a." * 100_000 + " y@z.org", ["email"]),
+               ("." * 200_000 + "@a.bc", []), ("a@" * 100_000, []), (("a.b.c.d.e.f.g.h.i@" + "-" * 200 + " ") * 900, []),
+               ("sk-" * 60_000 + "@", ["api_key"]), (("1" + " " * 1000) * 12 + "x", [])]
+
+
+def test_long_tokens_take_linear_time(spark):
+    with_pii(spark.createDataFrame([("warm up a@b.cd",)], "text string")).collect()
+    for text, types in LONG_TOKENS:
+        t0 = time.perf_counter()
+        row = with_pii(spark.createDataFrame([(text,)], "text string")).first()
+        assert [s["type"] for s in row["pii"]] == types
+        assert time.perf_counter() - t0 < 20

@@ -54,6 +54,25 @@ def java_pattern(p: PiiPattern) -> str:
     return dialect.to_java(p.pattern, p.flags, p.lead_word, p.tail_word)
 
 
+def search_pattern(p: PiiPattern) -> str:
+    """What is searched for: the matches, and the stretches to step over."""
+    return f"(?:{java_pattern(p)}|{p.skip})" if p.skip else java_pattern(p)
+
+
+def _without_skipped(p: PiiPattern, m: str, g: str) -> tuple[Column, Column]:
+    """Matches and gaps once the stretches stepped over are part of the gaps."""
+    anchor = sql_str(p.anchor)
+    kept = f"filter(sequence(0, size({m}) - 1), _i -> instr(get({m}, _i), {anchor}) > 0)"
+    ends = f"concat(array(-1), {kept}, array(size({m})))"
+    # the text after match _e of the list and before the next kept one
+    before_next = f"transform(filter(sequence(_e + 1, get(_r.ends, _k + 1)), _i -> _i < get(_r.ends, _k + 1)), _i -> concat(get({g}, _i), get({m}, _i)))"
+    gap = f"concat(array_join({before_next}, ''), get({g}, get(_r.ends, _k + 1)))"
+    gaps = f"get(transform(array(named_struct('ends', {ends})), _r -> transform(slice(_r.ends, 1, size(_r.ends) - 1), (_e, _k) -> {gap})), 0)"
+    stepped = f"exists({m}, _s -> instr(_s, {anchor}) = 0)"
+    matches = f"filter({m}, _s -> instr(_s, {anchor}) > 0)"
+    return F.expr(f"CASE WHEN {stepped} THEN {matches} ELSE {m} END"), F.expr(f"CASE WHEN {stepped} THEN {gaps} ELSE {g} END")
+
+
 def re2_pattern(p: PiiPattern) -> str:
     return dialect.to_re2(p.pattern, p.flags)
 
@@ -151,7 +170,7 @@ def with_pii(
     m_cols, g_cols = [], []
     stage1 = {}
     for i, p in enumerate(pats):
-        jp = java_pattern(p)
+        jp = search_pattern(p)
         m = F.regexp_extract_all(t, F.lit(jp), 0)
         gate = None
         for tok in p.requires:
@@ -170,10 +189,16 @@ def with_pii(
         name = f"__pg{i}"
         # fenced: read inside lambdas below, so it must never be inlined
         stage2[name] = fence(F.when(
-            F.size(F.col(m_cols[i])) > 0, F.split(t, java_pattern(p), -1)
+            F.size(F.col(m_cols[i])) > 0, F.split(t, search_pattern(p), -1)
         ))
         g_cols.append(name)
     df2 = df1.withColumns(stage2)
+    cleaned = {}
+    for i, p in enumerate(pats):
+        if p.skip:
+            cleaned[m_cols[i]], cleaned[g_cols[i]] = map(fence, _without_skipped(p, ident(m_cols[i]), ident(g_cols[i])))
+    if cleaned:
+        df2 = df2.withColumns(cleaned)
     folds = [
         F.expr(f"CASE WHEN size({ident(m_cols[i])}) > 0 THEN {_spans_sql(p, ident(m_cols[i]), ident(g_cols[i]))} "
                f"ELSE cast(array() as {SPANS_TYPE}) END")

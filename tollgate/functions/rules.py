@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .dialect import to_java
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (begin) -- must equal the screened behaviour exactly.
 # ---------------------------------------------------------------------------
@@ -130,6 +132,11 @@ class PiiPattern:
     # before the regex: "digit" (some ASCII digit), "a|b" (one of the
     # literals), or a literal substring (case-sensitive byte search).
     requires: tuple[str, ...] = ()
+    # A Java pattern of stretches in which no match can begin, or "". They
+    # are consumed whole, so that a long one is read once and not again from
+    # each of its characters. Every match holds ``anchor``, no stretch does.
+    skip: str = ""
+    anchor: str = ""
 
 
 @dataclass(frozen=True)
@@ -185,6 +192,22 @@ _PII_REQUIRES = {
     "ip_address": ("digit", "."),
 }
 
+#: Shortest run of address characters that is consumed whole.
+LONG_RUN = 64
+
+
+def email_skip(shortest: int = LONG_RUN) -> str:
+    """Runs of the characters before an ``@`` that no ``@`` and domain follow.
+    An address reaches from its first character to the ``@`` without a gap, so
+    none begins in such a run. A run is taken from its start, or from the end
+    of the match before."""
+    pattern = next(p for t, _, p, _ in PII_PATTERN_TABLE if t == "email")
+    local, rest = pattern.removeprefix("\\b").split("+@", 1)
+    return f"(?:(?<!{local})|\\G){local}{{{shortest},}}+(?!@{to_java(rest)})"
+
+
+_PII_SKIP = {"email": (email_skip(), "@")}
+
 PII_PATTERNS: tuple[PiiPattern, ...] = tuple(
     PiiPattern(
         type=t,
@@ -199,6 +222,8 @@ PII_PATTERNS: tuple[PiiPattern, ...] = tuple(
         # 13..19 digit repetitions and 3+3+4 digits already meet the floors.
         floor_implied=True,
         requires=_PII_REQUIRES.get(t, ()),
+        skip=_PII_SKIP.get(t, ("", ""))[0],
+        anchor=_PII_SKIP.get(t, ("", ""))[1],
     )
     for (t, lbl, p, f) in PII_PATTERN_TABLE
 )
