@@ -1,6 +1,10 @@
 """Registered queries against their DuckDB oracles on the smallest tables,
 plus the driver entry points."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -49,3 +53,12 @@ def test_entry(spark):
 def test_every_query_has_an_oracle():
     own = set(E.queries()) - set(E.LLM_QUERIES)
     assert own == set(E.oracle_sql()) - set(E.LLM_SQL)
+
+
+@pytest.mark.parametrize("missing", ["tollgate.llm", "tokenizers", "corpus_pipeline"])
+def test_entry_survives_what_cannot_be_imported(missing):
+    code = (f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as E; "
+            "from tollgate.plans.catalog import QUERIES; q = E.queries(); assert set(QUERIES) <= set(q); assert 'pipeline' not in q; "
+            "assert set(E.oracle_sql()) <= set(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
