@@ -521,3 +521,29 @@ def test_pipeline(spark, edges, docs):
     for name, stage in corpus_pipeline.STAGES:  # every stage takes every odd row, and none at all
         assert stage(spark, edges, SF).count() >= 0, name
         assert stage(spark, edges.limit(0), SF).count() == 0, name
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(simhash, "written", lambda df, name: made.append(name) or common.written(df, name))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(1, 1000)] + [(5000, 4000), (4500, 4000), (4500, 5000)], "src long, dst long")
+    got = {r["fp"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {i: 1 for i in range(1, 1001)} | {i: 4000 for i in (4000, 4500, 5000)}
+    assert made.count("simhash-round") <= 2 and made.count("simhash-jump") <= 14
+
+
+def test_components_of_random_links(spark):
+    rnd = random.Random(11)
+    names = rnd.sample(range(-10**6, 10**6), 600)
+    links = [(names[i], names[rnd.choice([max(0, i - 1), rnd.randrange(i)])]) for i in range(1, 600) if rnd.random() < 0.95]
+    label = {n: n for n in names}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    linked = {n for pair in links for n in pair}
+    got = simhash.components(spark.createDataFrame(links, "src long, dst long")).collect()
+    assert {r["fp"]: r["root"] for r in got} == {n: label[n] for n in linked}

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOCATOR, by_value, keep_rows, locator, map_text, stored, strings, written
+from .common import LOCATOR, by_value, keep_rows, keyed_join, locator, map_text, stored, strings, written
 
 by_value(__name__)
 
@@ -267,15 +267,29 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, pieces: int | None = None,
     return inside.unionByName(across).distinct()
 
 
+def _to_the_end(to: DataFrame) -> DataFrame:
+    """``src, to`` with every chain of steps followed to its end: a step is
+    replaced by two until none gets further, so a chain of n steps takes
+    log2(n) rounds."""
+    while True:
+        ahead = to.select(F.col("src").alias("to"), F.col("to").alias("next"))
+        to = written(to.select("src", "to").join(ahead, "to", "left").select(
+            "src", F.coalesce("next", "to").alias("to"), (F.col("next") < F.col("to")).alias("moved")), "simhash-jump")
+        if to.filter("moved").isEmpty():
+            return to.select("src", "to")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``fp, root`` for every fingerprint with a link. Each round sends a
-    node to its smallest neighbour and keeps the links between the nodes sent
-    to; the maps of all rounds give the root."""
+    node to its smallest neighbour, if that is smaller, and on to the end of
+    such steps, and keeps the links between the nodes arrived at. These have
+    no smaller neighbour, so each stands for two nodes at least: rounds, and
+    the jumps in a round, are at most the logarithm of the nodes."""
     edges = written(edges, "simhash-edges")
     root = None
     while not edges.isEmpty():
         around = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        to = written(around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("to")), "simhash-round")
+        to = _to_the_end(written(around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("to")), "simhash-round"))
         step = to.select(F.col("src").alias("root"), "to")
         root = to.select(F.col("src").alias("fp"), F.col("to").alias("root")) if root is None else written(
             root.join(step, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-roots")
@@ -307,13 +321,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = stored(docs)
     rows = written(fingerprints(docs, id_col, text_col, words, seed), "simhash-fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "locator")).alias("first")
-    nodes = written(rows.groupBy("fp").agg(first), "simhash-nodes")
+    nodes = written(rows.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "simhash-nodes")
     root = components(links(nodes.select("fp"), max_bits, pieces, block))
-    member = written(nodes.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-members")
-    best = member.groupBy("root").agg(F.min("first").alias("first"))
-    classes = member.select("fp", "root").join(best, "root").select("fp", "first")
-    return rows.join(classes, "fp").select("id", "locator", "fp", F.col("first.id").alias("component_id"),
-                                           F.col("first.locator").alias("keep_locator"))
+    member = written(nodes.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n"), "simhash-members")
+    best = member.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("members"))
+    # a class of very many fingerprints, a fingerprint of very many rows
+    classes = keyed_join(member.select("fp", "root", "n"), written(best, "simhash-best"), "root", "members")
+    return keyed_join(rows, written(classes.select("fp", "first", "n"), "simhash-classes"), "fp", "n").select(
+        "id", "locator", "fp", F.col("first.id").alias("component_id"), F.col("first.locator").alias("keep_locator"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
