@@ -1,10 +1,14 @@
 """Injection scoring and output checks."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 import jsref
 from tollgate.functions import injection as inj
 from tollgate.functions import output as outf
+from tollgate.functions.output import ParserLimits, json_is_valid, json_shortened, json_validate
 from tollgate.sources import fixtures
 
 
@@ -121,3 +125,45 @@ def test_topic_escape_option(spark):
     assert live == [None, 'Output discusses blocked topic: "price (usd)"']
     # escaped: literal parentheses; the trailing \b after ")" needs a word character next
     assert esc == [None, None]
+
+
+# ---- JSON beyond the limits of the parser
+
+def _json_text(rnd, depth):
+    kind = rnd.randrange(8)
+    if depth <= 0 or kind < 3:
+        return rnd.choice(["1", "-0.5e3", '"a b"', '"[1]"', "true", "null", '""', '"\\u00e9\\n"', "12345678", '"x:[{"', '"' + "y" * 12 + '"'])
+    def gap():
+        return rnd.choice(["", "", " ", "\n "])
+    inside = [_json_text(rnd, depth - 1) for _ in range(rnd.randrange(4))]
+    if kind < 6:
+        return "[" + gap() + (gap() + "," + gap()).join(inside) + gap() + "]"
+    return "{" + gap() + ("," + gap()).join(rnd.choice(['"a"', '"b"', '"toString"', '"k:[2]"']) + gap() + ":" + v + gap() for v in inside) + "}"
+
+
+def _damaged(rnd, text):
+    for _ in range(rnd.randrange(3)):
+        i = rnd.randrange(len(text) + 1)
+        text = rnd.choice([text[:i] + text[i + 1:], text[:i] + rnd.choice('[]{},:"01.-e \\x') + text[i:]])
+    return text
+
+
+def test_shortened_json_is_valid_when_the_text_is(spark):
+    rnd = random.Random(9)
+    texts = [_damaged(rnd, _json_text(rnd, rnd.randrange(7))) for _ in range(3000)]
+    fields = ["a", "b", "toString"]
+    t, s = F.col("t"), F.col("s")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("s", json_shortened(t, ParserLimits(3, 8, 2)))
+    for r in df.select("t", "s", json_is_valid(t).alias("v"), json_is_valid(s).alias("w"), json_validate(t, fields).alias("f"), json_validate(s, fields).alias("g")).collect():
+        assert r["v"] == r["w"] and r["f"] == r["g"], r
+
+
+@pytest.mark.parametrize("text,valid,has_a", [
+    ("[" * 1100 + "]" * 1100, True, False), ("[" * 1100 + "]" * 1099 + "}", False, False), ('{"a":' * 1500 + "1" + "}" * 1500, True, True),
+    ("1" * 1200, True, False), ("[0." + "1" * 1200 + "e5]", True, False), ("0" * 1200, False, False), ('{"' + "k" * 60_000 + '":1,"a":2}', True, True),
+    ('{"a":"' + "é" * 13_000_000 + '"}', True, True), ('["' + "x" * 60_000, False, False), ("prose " * 20_000, False, False),
+], ids=range(10))
+def test_json_beyond_the_limits_of_the_parser(spark, text, valid, has_a):
+    t = F.col("t")
+    row = spark.createDataFrame([(text,)], "t string").select(json_is_valid(t).alias("v"), json_validate(t, ["a"]).alias("f")).first()
+    assert row["v"] == valid and row["f"]["passed"] == has_a

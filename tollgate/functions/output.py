@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,14 +83,95 @@ def _wrapped(text: Column) -> tuple[Column, Column]:
     return a, b
 
 
+# ---- texts beyond the limits of the parser
+#
+# The parser gives up on numbers over 1,000 characters, nesting over 1,000,
+# names over 50,000 and strings over 20 million, valid or not. Such a text is
+# first written shorter, with the same validity and the same top level.
+
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_STRING_UNIT = r'(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))'
+_NUMBER = r"(?<![0-9.eE+\-])-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+(?![0-9.eE+\-])"
+_HOLE = "\x01"  # in no valid text
+_LEVELS = 3
+
+
+@dataclass(frozen=True)
+class ParserLimits:
+    """What the parser surely takes: characters of a number, of a string, and
+    nested brackets."""
+
+    number: int = 900
+    string: int = 40_000
+    depth: int = 900
+
+
+def _outside_strings(text: Column, pattern: str, by: str) -> Column:
+    """Replace a pattern everywhere but in strings: every string and every
+    match gets a mark, those of strings are taken away again."""
+    marked = F.regexp_replace(text, f"({_STRING})|{pattern}", "$1" + _HOLE)
+    return F.replace(F.regexp_replace(marked, f"({_STRING}){_HOLE}", "$1"), F.lit(_HOLE), F.lit(by))
+
+
+def _brackets(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "[{", ""))
+
+
+def _inner_value(levels: int) -> str:
+    if not levels:
+        return f"(?:{_STRING}|0|true|false|null)"
+    v = _inner_value(levels - 1)
+    return f"(?:{v}|{_container(v)})"
+
+
+def _container(v: str) -> str:
+    pair = f"{_STRING} ?: ?{v} ?"
+    return rf"(?:\[ ?(?:{v} ?(?:, ?{v} ?)*+)?+\]|\{{ ?(?:{pair}(?:, ?{pair})*+)?+\}})"
+
+
+def json_shortened(text: Column, limits: ParserLimits = ParserLimits()) -> Column:
+    """``text`` with long strings empty, numbers as 0 and the innermost
+    brackets as 0, level by level until few are left; never the outermost.
+    Valid if and only if ``text`` is, with the same names at the top level
+    (but for names over ``limits.string``, which become empty). Each round
+    takes ``_LEVELS`` levels off, so the cost of one text grows with its length
+    times its depth beyond ``limits.depth``."""
+    short = F.regexp_replace(text, f'"(?:({_STRING_UNIT}{{0,{limits.string}}}+)"|{_STRING_UNIT}*+")', '"$1"')
+    flat = _outside_strings(_outside_strings(short, _NUMBER, "0"), r"[ \t\n\r]++", " ")
+    inner = r"(?<=[\[,:] ?)" + _container(_inner_value(_LEVELS - 1))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(_brackets(flat) / F.lit(_LEVELS)).cast("int")))
+
+    def collapse(acc: Column, _: Column) -> Column:
+        return F.when(_brackets(acc) <= limits.depth, acc).otherwise(_outside_strings(acc, inner, "0"))
+
+    collapsed = _let(flat, lambda t: F.aggregate(rounds, t, collapse))
+    return F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), text).otherwise(collapsed)
+
+
+def _beyond(text: Column, limits: ParserLimits) -> Column:
+    return text.rlike(r'^[ \t\n\r]*[\[{"0-9-]') & (F.length(text) > limits.number) & (
+        (F.length(text) > limits.string) | text.rlike(f"[0-9.eE+-]{{{limits.number}}}") | (_brackets(text) > limits.depth))
+
+
+def _parsed(text: Column, limits: ParserLimits = ParserLimits()) -> Column:
+    """``struct<a, b>``: the text in both wrappers, null where it is not
+    valid. Only a text that the parser refuses and that has something long in
+    it is shortened and parsed again."""
+    def both(t: Column) -> Column:
+        a, b = _wrapped(t)
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    return _let(both(text), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), p)
+                .when(_beyond(text, limits), _let(json_shortened(text, limits), both)).otherwise(p))
+
+
 def json_is_valid(text: Column) -> Column:
     """Strict JSON validity: exactly one JSON value, surrounding whitespace
     allowed, duplicates allowed. Wrapping in ``[ ]`` and in ``{"w": }`` and
     requiring both to parse rejects trailing text and lists like ``1,2``.
     Needs ``spark.sql.variant.allowDuplicateKeys=true`` (set by
     ``tollgate.session``)."""
-    a, b = _wrapped(text)
-    return a.isNotNull() & b.isNotNull()
+    return _let(_parsed(text), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
 
 def _path_key(field: str) -> str:
@@ -108,9 +190,7 @@ def json_validate(text: Column, fields: Sequence[str] = ()) -> Column:
     null top level fails as invalid JSON (the membership test throws); an
     object needs each field as a non-null own key (or a prototype name); an
     array answers to ``length`` and its indices."""
-    a, b = _wrapped(text)
-    parsed = F.struct(a.alias("a"), b.alias("b"))
-    reason = _let(parsed, lambda p: _json_reason(p["a"], p["a"].isNotNull() & p["b"].isNotNull(), fields))
+    reason = _let(_parsed(text), lambda p: _json_reason(p["a"], p["a"].isNotNull() & p["b"].isNotNull(), fields))
     return _let(F.struct(reason.alias("reason")), lambda r: F.struct(r["reason"].isNull().alias("passed"), r["reason"].alias("reason")))
 
 
