@@ -157,12 +157,12 @@ def _parsed(text: Column, limits: ParserLimits = ParserLimits()) -> Column:
     """``struct<a, b>``: the text in both wrappers, null where it is not
     valid. Only a text that the parser refuses and that has something long in
     it is shortened and parsed again."""
-    def both(t: Column) -> Column:
-        a, b = _wrapped(t)
-        return F.struct(a.alias("a"), b.alias("b"))
+    def attempt(found: Column, turn: Column) -> Column:
+        a, b = _wrapped(F.when(turn == 1, text).when(_beyond(text, limits), json_shortened(text, limits)))
+        return F.when(found["a"].isNotNull() & found["b"].isNotNull(), found).otherwise(F.struct(a.alias("a"), b.alias("b")))
 
-    return _let(both(text), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), p)
-                .when(_beyond(text, limits), _let(json_shortened(text, limits), both)).otherwise(p))
+    nothing = F.lit(None).cast("variant")
+    return F.aggregate(F.array(F.lit(1), F.lit(2)), F.struct(nothing.alias("a"), nothing.alias("b")), attempt)
 
 
 def json_is_valid(text: Column) -> Column:
