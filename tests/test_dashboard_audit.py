@@ -1,10 +1,13 @@
 """Dashboard aggregates, audit rows, dedupe, append, clear."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tollgate.operators import audit, dashboard
 from tollgate.session import scratch_path
 from tollgate.sources.tables import AUDIT_SCHEMA
+from tollgate.streaming import screen
 
 
 def _log(spark, rows):
@@ -108,3 +111,15 @@ def test_daily_window_inclusive_and_grains(spark):
     assert day == {"2024-01-24": 1, "2024-01-30": 2}
     exact = {r.created_at: r["count"] for r in dashboard.daily_counts(log, F.lit(as_of), grain="exact").collect()}
     assert exact == {"2024-01-24 00:00:00.000000": 1, "2024-01-30 00:00:00.000000": 2}
+
+
+def test_results_are_published_whole_and_in_order(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    for batch in (7, 8, 9, 10, 0, 1):  # the last two by a query started anew
+        screen.overwrite_result(spark.createDataFrame([(batch,)], "n int"), batch, path)
+        assert [r["n"] for r in screen.newest_result(spark, path).collect()] == [batch]
+    assert len(os.listdir(f"{path}/data")) == screen.KEEP_VERSIONS
+    assert len([d for d in os.listdir(f"{path}/commits") if d.startswith("seq=")]) == screen.KEEP_VERSIONS
+    # data of a version that is being written, or whose writer was lost, is not on offer
+    spark.createDataFrame([(99,)], "n int").write.parquet(f"{path}/data/unfinished")
+    assert [r["n"] for r in screen.newest_result(spark, path).collect()] == [1]

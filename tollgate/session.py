@@ -90,6 +90,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/tollgate/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,6 +9,7 @@ of appending twice, and request ids stay unique across batches and queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, dashboard
 from ..operators.policy import DEFAULT_POLICY, Policy
 from ..operators.verdict import screen_input
-from ..session import path_exists, scratch_path
+from ..session import path_exists, remove_path, scratch_path
 from ..sources.tables import events_as_audit, spread, table_path
 
 
@@ -74,16 +75,37 @@ def idempotent_append(bdf: DataFrame, batch_id: int, path: str, query: str = "ba
     audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
 
 
-def overwrite_result(bdf: DataFrame, batch_id: int, path: str) -> None:
-    """Complete-mode results: each batch writes a version of its own, so a
-    reader never meets a half-written table."""
-    bdf.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+KEEP_VERSIONS = 3
+
+
+def _published(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """``(seq, version)`` of the versions on offer, oldest first: a few rows,
+    since old ones are removed."""
+    if not path_exists(spark, f"{path}/commits"):
+        return []
+    rows = spark.read.schema("version string, seq long").parquet(f"{path}/commits").collect()
+    return sorted((r["seq"], r["version"]) for r in rows)
+
+
+def overwrite_result(bdf: DataFrame, batch_id: int, path: str, keep: int = KEEP_VERSIONS) -> None:
+    """Complete-mode results: each batch writes a version of its own, and
+    then, in one file that appears whole, says that it is the newest. The
+    order of versions is that of publication, so a query started anew, whose
+    batches count from 0 again, goes on after the old ones. All but the last
+    ``keep`` versions are removed, those being read longest after."""
+    spark, version = bdf.sparkSession, uuid.uuid4().hex
+    bdf.write.parquet(f"{path}/data/{version}")
+    before = _published(spark, path)
+    seq = before[-1][0] + 1 if before else 0
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/commits/seq={seq}")
+    for old, name in before[:max(0, len(before) + 1 - keep)]:
+        remove_path(spark, f"{path}/commits/seq={old}")
+        remove_path(spark, f"{path}/data/{name}")
 
 
 def newest_result(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a complete-mode result."""
-    rows = spark.read.parquet(path)
-    return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
+    """The version published last; one being written is not on offer yet."""
+    return spark.read.parquet(f"{path}/data/{_published(spark, path)[-1][1]}")
 
 
 def stream_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +182,9 @@ def start_audit_stream(requests: DataFrame, sink: str, text: str = "input", poli
 
 def start_stats_stream(audit_log: DataFrame, sink: str, checkpoint: str | None = None,
                        trigger: str = "5 seconds", name: str = "tollgate-stats"):
-    """The dashboard counters kept current under ``sink`` (complete
-    mode, rewritten each trigger; readers see the newest full result)."""
+    """The dashboard counters kept current under ``sink`` (complete mode,
+    a version published at each trigger). A new checkpoint counts its input
+    anew and publishes after what is there."""
     spark = audit_log.sparkSession
     stats = dashboard.dash_stats(audit_log)
     ck = checkpoint or f"{sink}/_checkpoints/{name}"
