@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import pii as piif
 from tollgate.functions.rules import PII_PATTERNS
-from tollgate.operators.audit import dedupe_requests
+from tollgate.operators.audit import dedupe_requests, write_audit_log
+from tollgate.operators.dashboard import recent_requests
 from tollgate.operators.pairs import conversation_pairs
 from tollgate.operators.verdict import screen_input
-from tollgate.sources.tables import audit_log_from_events
+from tollgate.sources.tables import audit_log_from_events, read_audit_log
 
 
 def _optimized(df):
@@ -82,3 +83,24 @@ def test_json_text_is_parsed_twice_at_most(spark):
     for name in ("json_valid", "json_required", "screen_pairs", "output_verdict_library"):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert 1 <= plan.lower().count("parsejson") <= 2, name
+
+
+def test_recent_feed_finds_keys_before_texts(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_audit_log(audit_log_from_events(spark, "/root/testdata/sf0.001"), path, "overwrite")
+    df = recent_requests(read_audit_log(spark, path))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    schemas = [l for l in plan.split("\n") if l.startswith("ReadSchema")]
+    assert sum("input_text" in s for s in schemas) == 1 and sum("_text" not in s for s in schemas) >= 1
+    assert [l for l in plan.split("\n") if l.startswith("PartitionFilters") and "Subquery" in l]
+    whole = read_audit_log(spark, path).orderBy(F.col("created_at").desc(), "request_id").limit(50)
+    assert [r["request_id"] for r in df.collect()] == [r["request_id"] for r in whole.collect()]
+
+
+def test_written_log_has_files_by_size_not_by_task(spark, tmp_path):
+    log = audit_log_from_events(spark, "/root/testdata/sf0.01").repartition(40)
+    write_audit_log(log, str(tmp_path / "log"), "overwrite")
+    written = read_audit_log(spark, str(tmp_path / "log"))
+    days = written.select("created_date").distinct().count()
+    assert len(written.inputFiles()) <= 2 * days and written.count() == log.count()

@@ -132,9 +132,20 @@ def status_distribution(log: DataFrame) -> DataFrame:
 
 def recent_requests(log: DataFrame, n: int = RECENT_LIMIT) -> DataFrame:
     """T1 (P5): newest ``n`` rows by creation time; ties broken by request id
-    (ours). Planned as a TakeOrderedAndProject: each task keeps its own top
-    ``n`` and only those reach the final merge."""
-    return log.select(*RECENT_COLUMNS).orderBy(F.col("created_at").desc(), F.col("request_id")).limit(n)
+    (ours). The ``n`` newest keys are found first, from the two columns that
+    order them (a TakeOrderedAndProject: each task keeps its own top ``n``);
+    the other columns are then fetched for these keys, at most ``n``, so they
+    are broadcast. On a written log their dates prune its folders."""
+    newest = [F.col("created_at").desc(), F.col("request_id")]
+    by = ["created_at", "request_id"]
+    dated = "created_date" in log.columns
+    keys = log.select(*by, *["created_date"] * dated).orderBy(*newest).limit(n)
+    if dated:
+        oldest = keys.agg(F.min("created_date")).scalar()
+        log = log.filter((F.col("created_date") >= oldest) | F.col("created_date").isNull())
+    wanted = keys.select(*[F.col(c).alias("__" + c) for c in by])
+    same = F.col("created_at").eqNullSafe(F.col("__created_at")) & F.col("request_id").eqNullSafe(F.col("__request_id"))
+    return log.join(F.broadcast(wanted), same, "left_semi").select(*RECENT_COLUMNS).orderBy(*newest).limit(n)
 
 
 def has_pii(pii_found: Column) -> Column:
