@@ -15,9 +15,22 @@ FAST = [
     "pii_spans", "pii_mask", "pii_json", "inj_result", "toxicity", "json_required", "input_verdict",
     "input_verdict_suite", "policy_override", "output_verdict_library", "screen_conversations",
     "audit_log_rows", "dash_stats", "daily_counts", "recent_requests", "audit_log_dedup", "stream_stats",
-    "response_json_docs", "suite_labels",
+    "response_json_docs", "suite_labels", "read_requests", "read_requests_verdict", "request_validation", "stored_log_stats",
+    "stored_log_daily", "stored_log_recent", "input_verdict_no_action", "output_verdict_schema_warn", "suite_results", "suite_summary",
+    "suite_outputs", "screen_pairs_library",
 ]
 
+#: Queries that show each outcome at least once, at any size of the tables.
+OUTCOMES = {
+    "read_requests": ("error", {None, "Request could not be read.", "Input text is required."}),
+    "request_validation": ("accepted_strict", {True, False}),
+    "suite_results": ("actual", {"allowed", "modified", "blocked"}),
+    "suite_outputs": ("actual", {"allowed", "blocked"}),
+    "screen_pairs_library": ("response_status", {"allowed", "blocked_input", "blocked_output"}),
+    "input_verdict_no_action": ("input_status", {"allowed", "modified", "blocked"}),
+    "output_verdict_schema_warn": ("status_if_blocking", {"allowed", "blocked"}),
+}
+
 
 def _norm(rows, cols):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
@@ -62,3 +75,16 @@ def test_entry_survives_what_cannot_be_imported(missing):
             "assert set(E.oracle_sql()) <= set(q)")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+@pytest.mark.parametrize("name", list(OUTCOMES))
+def test_every_outcome_occurs(spark, name):
+    column, outcomes = OUTCOMES[name]
+    got = {r[column] for r in E.queries()[name](spark, SF_SMALL).select(column).distinct().collect()}
+    assert got == outcomes
+
+
+def test_a_silent_warning_passes_what_blocking_stops(spark):
+    rows = E.queries()["output_verdict_schema_warn"](spark, SF_SMALL).collect()
+    assert all(r["output_status"] == "allowed" or r["status_if_blocking"] == "blocked" for r in rows)
+    assert any(r["output_status"] == "allowed" and r["status_if_blocking"] == "blocked" and r["schema_error"] is None for r in rows)

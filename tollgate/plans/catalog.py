@@ -1110,3 +1110,7 @@ def q_suite_summary_labels(spark, sf):
     from ..operators.suite import suite_summary
 
     return suite_summary(labelled_suite(spark, sf).withColumn("latency_ms", F.lit(None).cast("int")))
+
+
+# Queries over written tables and further policies register themselves.
+from . import stored  # noqa: E402, F401

@@ -68,6 +68,19 @@ def read_requests_stream(spark: SparkSession, path: str, fmt: str = "parquet", g
     return r.format(fmt).load(path)
 
 
+INPUT_REQUIRED = "Input text is required."
+UNREADABLE = "Request could not be read."
+
+
+def request_outcomes(requests: DataFrame) -> DataFrame:
+    """Rows of ``read_requests`` with ``error``: what cannot be read (R1b: a
+    ``rules`` that is no list, a record cut off) and what has no input (P1)
+    stays as a row, under its request id where that can be made out."""
+    named = F.regexp_extract("_corrupt", '"request_id" *: *"([^"\\\\]+)"', 1)
+    error = F.when(F.col("_corrupt").isNotNull(), UNREADABLE).when(F.col("input").isNull() | (F.length("input") == 0), INPUT_REQUIRED)
+    return requests.withColumn("request_id", F.coalesce("request_id", F.when(named != "", named))).withColumn("error", error)
+
+
 def valid_requests(requests: DataFrame, text: str = "input", strict: bool = False) -> DataFrame:
     """Input present and non-empty (whitespace-only passes); P2 with
     ``strict``: non-blank after trimming."""
@@ -84,7 +97,7 @@ def rejected_requests(requests: DataFrame, text: str = "input", strict: bool = F
     ok = t.isNotNull() & (F.length(t) > 0)
     if strict:
         ok = ok & (F.length(F.trim(t)) > 0)
-    return requests.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", F.lit("Input text is required."))
+    return requests.filter(~F.coalesce(ok, F.lit(False))).withColumn("error", F.lit(INPUT_REQUIRED))
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
