@@ -149,8 +149,9 @@ def json_shortened(text: Column, limits: ParserLimits = ParserLimits()) -> Colum
 
 
 def _beyond(text: Column, limits: ParserLimits) -> Column:
-    return text.rlike(r'^[ \t\n\r]*[\[{"0-9-]') & (F.length(text) > limits.number) & (
-        (F.length(text) > limits.string) | text.rlike(f"[0-9.eE+-]{{{limits.number}}}") | (_brackets(text) > limits.depth))
+    long = F.length(text) > limits.number
+    return F.when(long, text.rlike(r'^[ \t\n\r]*[\[{"0-9-]') & (
+        (F.length(text) > limits.string) | text.rlike(f"[0-9.eE+-]{{{limits.number}}}") | (_brackets(text) > limits.depth)))
 
 
 def _parsed(text: Column, limits: ParserLimits = ParserLimits()) -> Column:
@@ -158,11 +159,12 @@ def _parsed(text: Column, limits: ParserLimits = ParserLimits()) -> Column:
     valid. Only a text that the parser refuses and that has something long in
     it is shortened and parsed again."""
     def attempt(found: Column, turn: Column) -> Column:
-        a, b = _wrapped(F.when(turn == 1, text).when(_beyond(text, limits), json_shortened(text, limits)))
+        a, b = _wrapped(F.when(turn == 1, text).otherwise(json_shortened(text, limits)))
         return F.when(found["a"].isNotNull() & found["b"].isNotNull(), found).otherwise(F.struct(a.alias("a"), b.alias("b")))
 
     nothing = F.lit(None).cast("variant")
-    return F.aggregate(F.array(F.lit(1), F.lit(2)), F.struct(nothing.alias("a"), nothing.alias("b")), attempt)
+    turns = F.when(_beyond(text, limits), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return F.aggregate(turns, F.struct(nothing.alias("a"), nothing.alias("b")), attempt)
 
 
 def json_is_valid(text: Column) -> Column:
