@@ -46,7 +46,7 @@ by_value(__name__)
 
 CAPACITY = 2048
 END_ID = 1
-CELL_ROWS = 50_000
+CELL_ROWS = 1_000
 RANK_BITS = 44
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
