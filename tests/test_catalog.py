@@ -14,7 +14,7 @@ from conftest import SF_SMALL
 FAST = [
     "pii_spans", "pii_mask", "pii_json", "inj_result", "toxicity", "json_required", "input_verdict",
     "input_verdict_suite", "policy_override", "output_verdict_library", "screen_conversations",
-    "audit_log_rows", "dash_stats", "daily_counts", "recent_requests", "audit_log_dedup", "stream_stats",
+    "audit_log_rows", "dash_stats", "daily_counts", "recent_requests", "audit_log_dedup", "stream_stats", "stream_conversations", "stream_audit",
     "response_json_docs", "suite_labels", "read_requests", "read_requests_verdict", "request_validation", "stored_log_stats",
     "stored_log_daily", "stored_log_recent", "input_verdict_no_action", "output_verdict_schema_warn", "suite_results", "suite_summary",
     "suite_outputs", "screen_pairs_library",

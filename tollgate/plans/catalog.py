@@ -960,6 +960,14 @@ def q_stream_audit(spark, sf):
                     F.when(F.col("pii_found").isNotNull(), F.lit("pii")).alias("pii_flag"))
 
 
+@register("stream_conversations", _screen_pairs_sql(_PAIR_LIVE, _PAIR_OV))
+def q_stream_conversations(spark, sf):
+    """V3, J1 on streams: equal to the batch screen of the same pairs."""
+    from ..streaming.screen import stream_conversations
+
+    return _screen_select(stream_conversations(pairs(spark, sf)))
+
+
 @register("stream_stats", _STATS_SQL)
 def q_stream_stats(spark, sf):
     from ..streaming.screen import stream_stats

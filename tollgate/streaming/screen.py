@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, dashboard
+from ..operators.pairs import screen_requests
 from ..operators.policy import DEFAULT_POLICY, Policy
 from ..operators.verdict import screen_input
 from ..session import path_exists, remove_path, scratch_path
 from ..sources.tables import events_as_audit, spread, table_path
+from .exchange import delivered_streams
+from .registry import close_registry, registry
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
@@ -64,14 +67,11 @@ def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "app
 def idempotent_append(bdf: DataFrame, batch_id: int, path: str, query: str = "batch") -> None:
     """W2 sink: each micro-batch of each query owns one folder, so a replay
     of a batch overwrites itself and two queries share a sink. Rows are
-    reduced to one per request id, and ids that any other batch in the sink
-    has are dropped (a join on the id column alone)."""
+    reduced to one per request id, and those stay whose id this batch claims
+    first among all batches of the sink (``registry``); no other batch is read."""
     rows = audit.dedupe_requests(bdf)
-    spark = bdf.sparkSession
-    if path_exists(spark, path):
-        own = (F.col("query") == query) & (F.col("batch_id") == batch_id)
-        seen = spark.read.schema("request_id string, query string, batch_id long").parquet(path).filter(~own)
-        rows = rows.join(seen.select("request_id"), "request_id", "left_anti").select(*bdf.columns)
+    won = registry(bdf.sparkSession, path).claim(rows.select("request_id"), query, batch_id)
+    rows = rows.join(won, "request_id", "left_semi").select(*bdf.columns)
     audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
 
 
@@ -124,7 +124,19 @@ def stream_audit(spark: SparkSession, sf_dir: str, as_of: str = "2024-01-15 12:0
         "text",
     )
     rows = audit.audit_rows(s, "live", "text", None, created_at=F.lit(as_of).cast("timestamp"))
-    return spark.read.parquet(run_to_table(spark, rows, "stream-audit", foreach=idempotent_append))
+    out = run_to_table(spark, rows, "stream-audit", foreach=idempotent_append)
+    close_registry(out)
+    return spark.read.parquet(out)
+
+
+def stream_conversations(pairs: DataFrame) -> DataFrame:
+    """Requests and recorded responses arrive as two streams, are
+    joined in event time and screened end to end."""
+    s = screen_requests(delivered_streams(pairs), "input", "response")
+    out = s.select("request_id", "input_status", "blocked_by", "response_status", "output_status", "output_blocked_by",
+                   "output_reason", "output", "intent")
+    spark = pairs.sparkSession
+    return spark.read.parquet(run_to_table(spark, out, "stream-conversations")).filter("request_id IS NOT NULL")
 
 
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
