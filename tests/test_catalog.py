@@ -17,13 +17,14 @@ FAST = [
     "audit_log_rows", "dash_stats", "daily_counts", "recent_requests", "audit_log_dedup", "stream_stats", "stream_conversations", "stream_audit",
     "response_json_docs", "suite_labels", "read_requests", "read_requests_verdict", "request_validation", "stored_log_stats",
     "stored_log_daily", "stored_log_recent", "input_verdict_no_action", "output_verdict_schema_warn", "suite_results", "suite_summary",
-    "suite_outputs", "screen_pairs_library",
+    "suite_outputs", "screen_pairs_library", "policy_in_force", "policy_in_force_library",
 ]
 
 #: Queries that show each outcome at least once, at any size of the tables.
 OUTCOMES = {
     "read_requests": ("error", {None, "Request could not be read.", "Input text is required."}),
     "request_validation": ("accepted_strict", {True, False}),
+    "policy_in_force": ("blocked_by", {None, "pii", "prompt_injection"}),
     "suite_results": ("actual", {"allowed", "modified", "blocked"}),
     "suite_outputs": ("actual", {"allowed", "blocked"}),
     "screen_pairs_library": ("response_status", {"allowed", "blocked_input", "blocked_output"}),

@@ -195,3 +195,25 @@ def test_output_library_details(spark):
     assert r[0].output_status == "allowed"
     assert (r[1].output_blocked_by, r[1].schema_error) == ("json_schema", "Missing required fields: a")
     assert (r[2].output_blocked_by, r[2].toxicity) == ("toxicity", "Genocidal language")
+
+
+def test_rules_in_force_at_each_time(spark):
+    import datetime as dt
+
+    from tollgate.operators.policy_history import rules_in_force
+    from tollgate.plans.stored import stored_rules
+
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    rows = [("before", at(1)), ("mask", at(2)), ("late mask", at(8, 11)), ("block", at(8, 12)), ("next day", at(9)),
+            ("off", at(10, 6)), ("on", at(15)), ("end", at(18, 3)), ("after", at(30)), ("no time", None)]
+    df = spark.createDataFrame(rows, "name string, created_at timestamp")
+    table = stored_rules(spark)
+    got = {r["name"]: {x["type"]: (x["enabled"], x["action"]) for x in r["rules_in_force"]} for r in rules_in_force(df, table).collect()}
+    on = ("prompt_injection", (True, "block"))
+    assert got == {
+        "before": {}, "no time": {}, "mask": {"pii": (True, "mask")}, "late mask": {"pii": (True, "mask")},
+        "block": {"pii": (True, "block")}, "next day": {"pii": (True, "block")},
+        "off": {"pii": (True, "block"), "prompt_injection": (False, None)}, "on": dict([("pii", (True, "block")), on]),
+        "end": dict([("pii", (False, None)), on]), "after": dict([("pii", (False, None)), on])}
+    assert rules_in_force(df, table.limit(0)).filter("size(rules_in_force) > 0").count() == 0
+    assert rules_in_force(df.limit(0), table).count() == 0

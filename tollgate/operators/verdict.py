@@ -44,6 +44,11 @@ def _lit_str(s: str | None) -> Column:
     return F.lit(s).cast("string")
 
 
+def _row_action(actions: str, t: str, fallback: str) -> Column:
+    rule = F.get(F.filter(F.col(actions), lambda r: r["type"] == t), 0)
+    return F.coalesce(rule["action"], F.lit(fallback))
+
+
 def screen_input(
     df: DataFrame,
     text: str = "input",
@@ -54,12 +59,15 @@ def screen_input(
     threshold: float = INJECTION_BLOCK_THRESHOLD,
     pii_patterns: Sequence[PiiPattern] = PII_PATTERNS,
     injection_rules: Sequence[InjectionRule] = INJECTION_RULES,
+    actions: str | None = None,
 ) -> DataFrame:
     """Add ``pii, injection, injection_hits, input_status, blocked_by, reason,
     masked_input, processed_input`` to ``df``.
 
     ``overrides`` names an ``array<struct<type,enabled>>`` column of per-row
-    rule overrides (live/library only; the suite never reads them)."""
+    rule overrides (live/library only; the suite never reads them). ``actions``
+    names an array with ``type`` and ``action`` (as ``rules_in_force`` makes it)
+    whose non-null actions replace those of the policy in these two profiles."""
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     ov = F.col(overrides) if (overrides and profile != "suite") else None
@@ -91,7 +99,18 @@ def screen_input(
     has_pii = F.size(pii) > 0
     blocking = inj.is_blocking(injc, threshold)
 
-    if profile == "live":
+    if actions and profile != "suite":
+        # each row has actions of its own
+        fallback = "allow" if profile == "live" else "mask"
+        pii_action = _row_action(actions, "pii", default_action(pii_rule, fallback))
+        block_inj, pii_hit = inj_on & blocking, pii_on & has_pii
+        if profile == "library":
+            block_inj &= _row_action(actions, "prompt_injection", default_action(inj_rule, "block")) == "block"
+        masks, blocks = pii_hit & (pii_action == "mask"), pii_hit & (pii_action == "block")
+        status = F.when(block_inj, "blocked").when(masks, "modified").when(blocks, "blocked").otherwise("allowed")
+        blocked_by = F.when(block_inj, "prompt_injection").when(masks | blocks, "pii")
+        reason = F.when(block_inj, injc["reason"]).when(masks, piif.pii_reason("pii")).when(blocks, piif.pii_block_reason("pii"))
+    elif profile == "live":
         block_inj = inj_on & blocking
         pii_hit = pii_on & has_pii
         action = pii_rule.action if pii_rule is not None else None

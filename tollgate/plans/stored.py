@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, dashboard
 from ..operators.pairs import screen_requests
-from ..operators.policy import DEFAULT_POLICY
+from ..operators.policy import DEFAULT_POLICY, POLICY_TABLE_SCHEMA
+from ..operators.policy_history import rules_in_force
 from ..operators.suite import expected_vs_actual, suite_results, suite_summary
 from ..operators.verdict import screen_input, screen_output
 from ..session import scratch_path
@@ -258,3 +259,63 @@ def q_screen_pairs_library(spark, sf):
     """V3, library profile under the default policy: allowed, masked and
     blocked inputs, allowed and blocked outputs."""
     return _screen_select(screen_requests(pairs(spark, sf), "input", "response", DEFAULT_POLICY, "library"))
+
+
+# --------------------------------------------------------------------------
+# Policies in force by time
+# --------------------------------------------------------------------------
+
+_MASK, _BLOCK_PII, _OFF, _ON, _END = "2024-01-02 00:00:00", "2024-01-08 12:00:00", "2024-01-10 06:00:00", "2024-01-15 00:00:00", "2024-01-18 03:00:00"
+STORED_RULES = [
+    ("r1", "pii", True, '{"action": "mask"}', _MASK),
+    ("r2", "pii", True, '{"action": "block"}', _BLOCK_PII),
+    ("r3", "pii", True, '{"action": "mask"}', _BLOCK_PII),  # begins at once with r2, which counts
+    ("r4", "prompt_injection", False, "not JSON", _OFF),
+    ("r5", "prompt_injection", True, '{"action": "block"}', _ON),
+    ("r6", "pii", None, None, _END),
+    ("r7", "unknown", True, "{}", _MASK),
+]
+
+
+def stored_rules(spark):
+    rows = [(i, i, "input", t, on, config, since) for i, t, on, config, since in STORED_RULES]
+    table = spark.createDataFrame(rows, "id string, name string, category string, type string, enabled boolean, config string, since string")
+    table = table.withColumn("created_at", F.col("since").cast("timestamp")).withColumn("updated_at", F.col("created_at")).drop("since")
+    return table.to(spark.createDataFrame([], POLICY_TABLE_SCHEMA).schema)
+
+
+_ASKED_SQL = f"""SELECT doc_id, lang, text, TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id % 20)::INTEGER)
+  + to_hours((doc_id // 20 % 24)::INTEGER) AS asked FROM ({SEEDED_LANG_SQL})"""
+_FORCE_PII = f"(asked < TIMESTAMP '{_END}')"
+_FORCE_INJ = f"NOT (asked >= TIMESTAMP '{_OFF}' AND asked < TIMESTAMP '{_ON}')"
+
+
+def _in_force_sql(profile: str) -> str:
+    blocking = DEFAULT_POLICY.with_rule("pii", action="block")
+    return " UNION ALL ".join(
+        f"SELECT doc_id, input_status, blocked_by, reason FROM ({sql})" for sql in (
+            O.input_verdict_sql(f"SELECT * FROM ({_ASKED_SQL}) WHERE asked < TIMESTAMP '{_BLOCK_PII}'", "doc_id", "text", profile,
+                                None, _FORCE_PII, _FORCE_INJ),
+            O.input_verdict_sql(f"SELECT * FROM ({_ASKED_SQL}) WHERE asked >= TIMESTAMP '{_BLOCK_PII}'", "doc_id", "text", profile,
+                                blocking, _FORCE_PII, _FORCE_INJ)))
+
+
+def _screened_in_force(spark, sf, profile):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
+        (F.col("doc_id") % 20).cast("int"), (F.floor(F.col("doc_id") / 20) % 24).cast("int"))
+    asked = seeded(docs_lang(spark, sf)).withColumn("asked", at)
+    ruled = rules_in_force(asked, stored_rules(spark), "asked")
+    s = screen_input(ruled, "text", profile=profile, overrides="rules_in_force", actions="rules_in_force")
+    return s.select("doc_id", "input_status", "blocked_by", "reason")
+
+
+@register("policy_in_force", _in_force_sql("live"))
+def q_policy_in_force(spark, sf):
+    """Each document under the stored rules in force at its time."""
+    return _screened_in_force(spark, sf, "live")
+
+
+@register("policy_in_force_library", _in_force_sql("library"))
+def q_policy_in_force_library(spark, sf):
+    """S4, library profile: disabled rules are not run."""
+    return _screened_in_force(spark, sf, "library")
