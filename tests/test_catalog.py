@@ -18,6 +18,7 @@ FAST = [
     "response_json_docs", "suite_labels", "read_requests", "read_requests_verdict", "request_validation", "stored_log_stats",
     "stored_log_daily", "stored_log_recent", "input_verdict_no_action", "output_verdict_schema_warn", "suite_results", "suite_summary",
     "suite_outputs", "screen_pairs_library", "policy_in_force", "policy_in_force_library",
+    "stream_daily_closed", "stream_dedup_expiry",
 ]
 
 #: Queries that show each outcome at least once, at any size of the tables.
@@ -25,6 +26,7 @@ OUTCOMES = {
     "read_requests": ("error", {None, "Request could not be read.", "Input text is required."}),
     "request_validation": ("accepted_strict", {True, False}),
     "policy_in_force": ("blocked_by", {None, "pii", "prompt_injection"}),
+    "stream_daily_closed": ("closed", {True, False}),
     "suite_results": ("actual", {"allowed", "modified", "blocked"}),
     "suite_outputs": ("actual", {"allowed", "blocked"}),
     "screen_pairs_library": ("response_status", {"allowed", "blocked_input", "blocked_output"}),

@@ -92,3 +92,27 @@ def test_unanswered_requests_come_once(spark, tmp_path):
     put(said, [("end", None, at(600)), ("none", "x", at(600))], A)
     run()
     assert run() == [("", "", False), ("a", "first", True), ("b", "in time", True), ("c", "", False), ("d", "", False)]
+
+
+def test_late_rows_are_set_aside_and_days_close_once(spark):
+    from tollgate.streaming import daily
+
+    path, day = scratch_path(spark, "test-days"), lambda d, h=12: dt.datetime(2024, 1, d, h)
+
+    def batch(n, times):
+        daily.fold_days(spark.createDataFrame([(t,) for t in times], "created_at timestamp"), n, path)
+
+    def days(rows):
+        return {(r["day"].day, r["count"]) for r in rows.collect()}
+
+    batch(0, [day(1), day(1), day(2, 0)])              # an hour of grace: the first day stays open
+    assert days(daily.closed_days(spark, path)) == set() and days(daily.open_days(spark, path)) == {(1, 2), (2, 1)}
+    batch(1, [day(1, 23), day(3), None])               # in time, though older than what came before
+    assert days(daily.closed_days(spark, path)) == {(1, 3), (2, 1)} and days(daily.open_days(spark, path)) == {(3, 1)}
+    for _ in range(2):                                 # a batch and its replay
+        batch(2, [day(2), day(3), day(3)])
+    assert days(daily.closed_days(spark, path)) == {(1, 3), (2, 1)} and days(daily.open_days(spark, path)) == {(3, 3)}
+    assert sorted((r["batch_id"], r["created_at"] and r["created_at"].day) for r in daily.late_rows(spark, path).collect()) == [(1, None), (2, 2)]
+    batch(3, [])
+    assert days(daily.open_days(spark, path)) == {(3, 3)}
+    assert len(os.listdir(f"{path}/open")) <= 2 and len(os.listdir(f"{path}/floor")) <= 2

@@ -319,3 +319,47 @@ def q_policy_in_force(spark, sf):
 def q_policy_in_force_library(spark, sf):
     """S4, library profile: disabled rules are not run."""
     return _screened_in_force(spark, sf, "library")
+
+
+# --------------------------------------------------------------------------
+# Streams in several batches
+# --------------------------------------------------------------------------
+
+_CAME_SQL = f"SELECT *, request_id::BIGINT % 10 = 3 AS held, date_trunc('day', created_at) AS day FROM ({EVENTS_LOG_SQL})"
+
+
+@register("stream_daily_closed", f"""WITH came AS ({_CAME_SQL}), floors AS (
+  SELECT max(created_at) FILTER (WHERE NOT held) - INTERVAL 1 HOUR AS floor, max(created_at) - INTERVAL 1 HOUR AS all_floor FROM came),
+  judged AS (SELECT day, held AND day + INTERVAL 1 DAY <= floor AS late, created_at FROM came, floors),
+  final AS (SELECT max(created_at) FILTER (WHERE NOT late) - INTERVAL 1 HOUR AS f FROM judged)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE NOT late) AS count, count(*) FILTER (WHERE late) AS late,
+  day + INTERVAL 1 DAY <= any_value(f) AS closed FROM judged, final GROUP BY judged.day""")
+def q_stream_daily_closed(spark, sf):
+    """A tenth of the log comes after the rest; its rows of days that have
+    closed are set aside."""
+    from ..streaming.screen import stream_daily_closed
+
+    log, held = events_log(spark, sf), F.col("request_id").cast("long") % 10 == 3
+    early = F.col("created_at") < F.lit("2024-01-12 09:00:00").cast("timestamp")
+    return stream_daily_closed(spark, [log.filter(~held & early), log.filter(~held & ~early), log.filter(held)])
+
+
+@register("stream_dedup_expiry", f"""SELECT request_id, id FROM ({EVENTS_LOG_SQL})
+UNION ALL SELECT request_id, id || '-months-later' AS id FROM ({EVENTS_LOG_SQL})""")
+def q_stream_dedup_expiry(spark, sf):
+    """Each request comes again after a minute, which is dropped, and
+    again after months, when its id has expired. Two rows in between tell the
+    stream that time has passed."""
+    from ..streaming.screen import stream_dedup_expiry
+
+    log = events_log(spark, sf).select("request_id", "id", "created_at")
+
+    def again(interval, suffix):
+        return log.select("request_id", F.concat("id", F.lit(suffix)).alias("id"), (F.col("created_at") + F.expr(interval)).alias("created_at"))
+
+    def clock(days):
+        return log.agg((F.max("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("created_at")).select(
+            F.lit(f"clock-{days}").alias("request_id"), F.lit(None).cast("string").alias("id"), "created_at")
+
+    steps = [log, again("INTERVAL 1 MINUTE", "-again"), clock(1), clock(2), again("INTERVAL 400 DAYS", "-months-later")]
+    return stream_dedup_expiry(spark, steps).filter("id IS NOT NULL")

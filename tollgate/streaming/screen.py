@@ -10,7 +10,8 @@ of appending twice, and request ids stay unique across batches and queries.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..operators.policy import DEFAULT_POLICY, Policy
 from ..operators.verdict import screen_input
 from ..session import path_exists, remove_path, scratch_path
 from ..sources.tables import events_as_audit, spread, table_path
+from . import daily
 from .exchange import delivered_streams
 from .registry import close_registry, registry
 
@@ -75,6 +77,24 @@ def idempotent_append(bdf: DataFrame, batch_id: int, path: str, query: str = "ba
     audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
 
 
+def run_steps(spark: SparkSession, steps: Sequence[DataFrame], name: str, build: Callable[[DataFrame], DataFrame],
+              foreach: Callable | None = None) -> str:
+    """Deliver ``steps`` one after another to a streaming query, each as one
+    micro-batch whatever its size, the query being stopped and started again
+    from its checkpoint in between. Returns the output folder."""
+    out = scratch_path(spark, name)
+    for rows in steps:
+        rows.write.mode("append").parquet(out + "/in")
+        w = build(spark.readStream.schema(rows.schema).parquet(out + "/in")).writeStream
+        w = w.option("checkpointLocation", out + "/_checkpoint")
+        if foreach is not None:
+            w = w.foreachBatch(lambda bdf, bid: foreach(bdf, bid, out + "/data"))
+        else:
+            w = w.format("parquet").option("path", out + "/data")
+        w.trigger(availableNow=True).start().awaitTermination()
+    return out + "/data"
+
+
 KEEP_VERSIONS = 3
 
 
@@ -155,6 +175,27 @@ def stream_daily(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") ->
     return newest_result(spark, run_to_table(spark, out, "stream-daily", "complete", overwrite_result))
 
 
+def stream_daily_closed(spark: SparkSession, steps: Sequence[DataFrame], delay: str = "1 hour") -> DataFrame:
+    """W4 with event time that acts: per day the counted rows, whether the day
+    has closed, and the rows that came after that and were set aside."""
+    out = run_steps(spark, steps, "stream-daily-closed", lambda s: s, partial(daily.fold_days, delay=delay))
+    days = daily.closed_days(spark, out).withColumn("closed", F.lit(True)).unionByName(
+        daily.open_days(spark, out).withColumn("closed", F.lit(False)))
+    late = daily.late_rows(spark, out).groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("late"))
+    both = days.join(late, "day", "full_outer")
+    return both.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                       F.coalesce("late", F.lit(0)).cast("long").alias("late"), F.coalesce("closed", F.lit(True)).alias("closed"))
+
+
+def stream_dedup_expiry(spark: SparkSession, steps: Sequence[DataFrame], watermark: str = "10 minutes") -> DataFrame:
+    """W5 over several batches: a request id is kept for ``watermark`` after
+    its first row, and one that returns after that is let through."""
+    def build(s: DataFrame) -> DataFrame:
+        return s.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["request_id"]).select("request_id", "id")
+
+    return spark.read.parquet(run_steps(spark, steps, "stream-dedup-expiry", build))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
     """The log delivered twice (replay a minute later); duplicates of a
     request id within the watermark are dropped, state expires with it."""
