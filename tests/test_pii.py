@@ -174,3 +174,35 @@ def test_long_tokens_take_linear_time(spark):
         row = with_pii(spark.createDataFrame([(text,)], "text string")).first()
         assert [s["type"] for s in row["pii"]] == types
         assert time.perf_counter() - t0 < 20
+
+
+def _masked(df):
+    from tollgate.functions import pii
+
+    return pii.with_mask(pii.with_pii(df, "text", "pii", parts="parts"), "text", "pii", "parts", "masked")
+
+
+def test_nested_spans_mask_like_the_fold(spark):
+    import random
+
+    from tollgate.functions import pii
+
+    rnd = random.Random(3)
+    tokens = ["a.1.2.3.4@b.co", " ", "4111111111111111", "1.2.3.4", "@", "x", " 555-123-4567", "john@ex.com", "z.10.20.30.40@q.org", " word ", "é"]
+    rows = [(i, "".join(rnd.choice(tokens) for _ in range(rnd.randint(1, 14)))) for i in range(2000)]
+    out = _masked(spark.createDataFrame(rows, "i int, text string")).withColumn("fold", pii.pii_mask("text", "pii"))
+    nested = "exists(pii, x -> exists(pii, y -> y.start > x.start AND y.end < x.end))"
+    assert out.filter(nested).count() > 200
+    assert out.filter("NOT masked <=> fold").count() == 0
+
+
+def test_many_nested_spans_in_one_row(spark):
+    import time
+
+    n, unit = 50000, "some words a.10.2.3.40@b.com "
+    df = spark.createDataFrame([(unit * n,)], "text string")
+    one = _masked(spark.createDataFrame([(unit,)], "text string")).first()["masked"]
+    began = time.monotonic()
+    row = _masked(df).selectExpr("size(pii) AS n", "masked").first()
+    assert time.monotonic() - began < 20  # 100,000 spans
+    assert row["n"] == 2 * n and row["masked"] == one * n

@@ -117,28 +117,28 @@ def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def _scan_sql(values: str, combine: str, n: str) -> str:
+    """Running combination over an array of ``n`` > 0 integers, as SQL text:
+    at step k each element takes in the one 2^k places before it (``_x`` and
+    ``_o`` in ``combine``), so n log n elements are touched and none is copied
+    more than once a step."""
+    other = "coalesce(get(_t, _i - shiftleft(1, _k)), 0)"
+    return (f"aggregate(sequence(0, cast(floor(log2({n})) as int)), {values}, "
+            f"(_t, _k) -> transform(_t, (_x, _i) -> {combine.replace('_o', other)}))")
+
+
 def _spans_sql(p: PiiPattern, m: str, g: str) -> str:
-    """Spans of one detector as SQL text: one fold over blocks of about sqrt(n) matches; each block's offsets are the running offset plus a
-    short in-block sum. Only the match and gap columns are read inside the
-    lambdas, so nothing is re-evaluated per element: O(n^1.5) array work
-    instead of the single fold's O(n^2)."""
-    B = f"cast(ceil(sqrt(size({m}))) as int)"
-    step = f"(length(get({g}, _i)) + length(get({m}, _i)))"
+    """Spans of one detector as SQL text: the ends of the matches are running
+    sums of gap and match lengths, bound once (``_ends``) for the lambda that
+    builds the spans."""
+    steps = f"transform({m}, (_v, _i) -> length(get({g}, _i)) + length(_v))"
+    ends = _scan_sql(steps, "_x + _o", f"size({m})")
     # a custom detector's value is the trimmed match; its start stays the raw one
-    val = (f"regexp_replace(get({m}, _j), {sql_str(_JS_TRIM)}, '')" if p.may_pad else f"get({m}, _j)")
-    blk_end = f"least(size({m}), _b * {B} + {B}) - 1"
-    start = (f"(_a.pos + CASE WHEN _j > _b * {B} THEN aggregate(sequence(_b * {B}, _j - 1), 0, "
-             f"(_s, _i) -> _s + {step}) ELSE 0 END + length(get({g}, _j)))")
+    val = f"regexp_replace(_v, {sql_str(_JS_TRIM)}, '')" if p.may_pad else "_v"
+    start = "(get(_ends, _j) - length(_v))"
     span = (f"named_struct('type', {sql_str(p.type)}, 'label', {sql_str(p.label)}, 'value', {val}, "
             f"'start', cast({start} as int), 'end', cast({start} + length({val}) as int))")
-    body = (
-        f"aggregate(sequence(0, cast(ceil(size({m}) / {B}) as int) - 1), "
-        f"named_struct('pos', 0, 'sp', cast(array() as {SPANS_TYPE})), "
-        f"(_a, _b) -> named_struct("
-        f"'pos', _a.pos + aggregate(sequence(_b * {B}, {blk_end}), 0, (_s, _i) -> _s + {step}), "
-        f"'sp', concat(_a.sp, transform(sequence(_b * {B}, {blk_end}), _j -> {span}))), "
-        f"_a -> _a.sp)"
-    )
+    body = f"get(transform(array({ends}), _ends -> transform({m}, (_v, _j) -> {span})), 0)"
     if p.min_digits is not None and not p.floor_implied:
         body = f"filter({body}, _f -> length(regexp_replace(_f.value, '[^0-9]', '')) >= {int(p.min_digits)})"
     return body
@@ -261,34 +261,34 @@ def _mask_sql(text: str, spans: str, mode: str) -> str:
 def with_mask(df: DataFrame, text: str, spans: str, parts: str, out: str,
               when: Column | None = None) -> DataFrame:
     """The reference mask in time linear in the text (plus n log n in the
-    spans) for the usual rows, the exact right-to-left fold otherwise.
+    spans), the exact right-to-left fold where that cannot be.
 
     Spans (``parts``: sorted by start, with their values and the text
     before/after them within their own pattern's split) fall into runs of
-    consecutive overlapping spans. With span ends non-decreasing, runs are
-    independent: each run is folded right to left, exactly as specified, on
-    its own small string -- the run's text plus the text up to the next run
-    -- and the results are joined after the text before the first span.
-    When ends are not monotone (nested spans) or a cut in a run would
-    reach past its local string (a label much shorter than an overlap), the
-    row takes the whole-text fold of ``pii_mask``. ``when`` limits the work
-    to rows that need a mask (others get null)."""
+    overlapping or nested spans: a run ends where a span starts at or after
+    the largest end so far. Each run is folded right to left, exactly as
+    specified, on its own small string -- the run's text plus the text up to
+    the next run -- and the results are joined after the text before the first
+    span. When a cut in a run would reach past its local string (a label much
+    shorter than an overlap), the row takes the whole-text fold of
+    ``pii_mask``. ``when`` limits the work to rows that need a mask (others get
+    null)."""
     P, S, T = ident(parts), ident(spans), ident(text)
     gate = when if when is not None else F.lit(True)
     n = f"size({P})"
-    mono = f"({n} <= 1 OR forall(sequence(1, {n} - 1), _k -> get({P}, _k).end >= get({P}, _k - 1).end))"
-    starts = f"filter(sequence(0, {n} - 1), _k -> _k = 0 OR get({P}, _k).start >= get({P}, _k - 1).end)"
-    st1 = df.withColumns({
-        "__m_ok": F.when(gate & F.expr(f"{P} IS NOT NULL AND {n} > 0"), F.expr(mono)),
-        "__m_gs": fence(F.when(gate & F.expr(f"{P} IS NOT NULL AND {n} > 0"), F.expr(starts))),
-    })
+    some = gate & F.expr(f"{P} IS NOT NULL AND {n} > 0")
+    far = _scan_sql(f"transform({P}, _y -> _y.end)", "greatest(_x, _o)", n)
+    starts = f"filter(sequence(0, {n} - 1), _k -> _k = 0 OR get({P}, _k).start >= get(`__m_far`, _k - 1))"
+    st0 = df.withColumn("__m_far", fence(F.when(some, F.expr(far))))
+    st1 = st0.withColumn("__m_gs", fence(F.when(some, F.expr(starts))))
     # one run: slice of parts, its local string, its right-to-left fold
     run = (
         "transform(`__m_gs`, (_k0, _gi) -> named_struct('k0', _k0, "
         f"'k1', coalesce(get(`__m_gs`, _gi + 1), {n})))"
     )
     local = (
-        f"transform({run}, _g -> named_struct('sp', slice({P}, _g.k0 + 1, _g.k1 - _g.k0), 'k1', _g.k1))"
+        f"transform({run}, _g -> named_struct('sp', slice({P}, _g.k0 + 1, _g.k1 - _g.k0), 'k1', _g.k1, 'last', "
+        f"array_max(transform(slice({P}, _g.k0 + 1, _g.k1 - _g.k0), _y -> named_struct('end', _y.end, 'post', _y.post)))))"
     )
     folded = (
         f"transform({local}, _r -> aggregate("
@@ -297,14 +297,15 @@ def with_mask(df: DataFrame, text: str, spans: str, parts: str, out: str,
         # local string: the run's text (values chained past the previous end) plus the gap to the next run
         f"named_struct('s', concat("
         f"aggregate(slice(_r.sp, 2, size(_r.sp)), named_struct('t', get(_r.sp, 0).value, 'e', get(_r.sp, 0).end), "
-        f"(_a, _y) -> named_struct('t', concat(_a.t, substr(_y.value, _a.e - _y.start + 1)), 'e', _y.end), _a -> _a.t), "
-        f"CASE WHEN _r.k1 = {n} THEN get(_r.sp, size(_r.sp) - 1).post "
-        f"ELSE substr(get(_r.sp, size(_r.sp) - 1).post, 1, get({P}, _r.k1).start - get(_r.sp, size(_r.sp) - 1).end) END), "
+        f"(_a, _y) -> CASE WHEN _y.end <= _a.e THEN _a ELSE "
+        f"named_struct('t', concat(_a.t, substr(_y.value, _a.e - _y.start + 1)), 'e', _y.end) END, _a -> _a.t), "
+        f"CASE WHEN _r.k1 = {n} THEN _r.last.post "
+        f"ELSE substr(_r.last.post, 1, get({P}, _r.k1).start - _r.last.end) END), "
         f"'a', get(_r.sp, 0).start, 'ovf', false), "
         f"(_c, _m) -> named_struct('s', concat(substr(_c.s, 1, _m.start - _c.a), '[', _m.label, ']', "
         f"substr(_c.s, _m.end - _c.a + 1)), 'a', _c.a, 'ovf', _c.ovf OR (_m.end - _c.a > length(_c.s)))))"
     )
-    st2 = st1.withColumn("__m_runs", fence(F.when(F.col("__m_ok") == F.lit(True), F.expr(folded))))
+    st2 = st1.withColumn("__m_runs", fence(F.when(some, F.expr(folded))))
     linear = f"concat(get({P}, 0).pre, array_join(transform(`__m_runs`, _z -> _z.s), ''))"
     exact = _mask_sql(T, S, "reference")
     masked = (
@@ -312,7 +313,7 @@ def with_mask(df: DataFrame, text: str, spans: str, parts: str, out: str,
         f"WHEN `__m_runs` IS NOT NULL AND NOT exists(`__m_runs`, _z -> _z.ovf) THEN {linear} "
         f"ELSE {exact} END"
     )
-    return st2.withColumn(out, F.when(gate, F.expr(masked))).drop("__m_ok", "__m_gs", "__m_runs")
+    return st2.withColumn(out, F.when(gate, F.expr(masked))).drop("__m_far", "__m_gs", "__m_runs")
 
 
 def pii_mask(text: Column | str, spans: Column | str, mode: str = "reference") -> Column:
