@@ -365,6 +365,25 @@ def test_language_of_three_short_documents_is_learned(spark, docs):
     assert len(unlisted.words) == 1 and len(unlisted.grams[4]) > 1000  # n-grams of the words that are not listed
 
 
+def test_language_learns_every_labelled_language(spark):
+    """1,200 languages of two short texts each, with words of their own."""
+    import itertools
+
+    syllables = ["".join(x) for x in itertools.product("bdfgklmnpr", "aeiou")]
+    own = ["".join(x) for x in itertools.islice(itertools.product(syllables, repeat=2), 1200)]
+    rows = [(2 * i + j, f"{w} {w}{'st'[j]} {w}", f"l{i:04}") for i, w in enumerate(own) for j in range(2)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{i:04}" for i in range(1200)]
+    names, _ = model.predict([f"{w} {w}" for w in own])
+    assert names == model.languages
+
+
+def test_language_ties_go_to_the_first():
+    same = language.Rows({"word": np.array([-1.0, -1.0])})
+    model = language.LanguageModel(["a", "b"], same, {n: language.Rows() for n in language.LENGTHS}, "tie")
+    assert model.predict(["word word", "unknown"]) == (["a", "a"], [0.5, 0.5])
+
+
 def test_language_backs_off_to_shorter_grams():
     one = lambda a, b: np.array([a, b])
     model = language.LanguageModel(["a", "b"], {"known": one(-1.0, -2.0)},

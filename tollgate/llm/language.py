@@ -8,10 +8,11 @@ frequency of those, discounted at each shorter length. The score is the
 posterior of the best language under equal priors.
 
 The model is fitted on a bounded sample (about ``per_language`` labelled
-documents of each of the ``max_languages`` most frequent languages, whole
-texts, drawn at random by a fixed seed). N-grams are counted over all sampled
+documents of each language, however many languages there are; whole texts,
+drawn at random by a fixed seed). N-grams are counted over all sampled
 words. Each language has its own ``max_words`` most frequent words and
-``max_grams`` n-grams of each length, so a language with few documents does
+``max_grams`` n-grams of each length (fewer from 32 languages on, by the
+square of their number, so that the tables stay of one size), so a language with few documents does
 not compete with the others for a place; the languages are those of the
 labelled rows, whatever their words. Prediction reads every whole text in one pass without a
 shuffle and uses the text alone.
@@ -137,13 +138,14 @@ class LanguageModel:
         return names, scores
 
 
-def _sizes(docs: DataFrame, max_languages: int) -> DataFrame:
-    return docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages)
+def _sizes(docs: DataFrame) -> DataFrame:
+    """One row a language."""
+    return docs.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def _sampled(docs: DataFrame, sizes: list[Row], per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, each drawn by itself.
-    The table of language sizes is bounded, so it is broadcast and the texts
+    The table of language sizes has a row a language, so it is broadcast and the texts
     are not shuffled."""
     table = docs.sparkSession.createDataFrame(sizes, "_lang string, _n long")
     return docs.join(F.broadcast(table), "_lang").filter(F.rand(37) * F.col("_n") < per_language).select("_lang", "_text")
@@ -211,11 +213,11 @@ def _smoothed(listed: pa.Table, totals: dict[str, int], languages: list[str], ad
     return Rows(zip(listed.column("entry").to_pylist(), np.log(rates + add / max(totals.values(), default=1)), strict=True))
 
 
-def _tables(counts: DataFrame, languages: list[str], most: int, max_languages: int) -> dict[int, Rows]:
+def _tables(counts: DataFrame, languages: list[str], most: int, room: int) -> dict[int, Rows]:
     """Log frequencies by size. A language has ``most`` entries of a size;
     with many languages fewer, so that there are never more numbers than
-    ``most`` entries in ``max_languages`` languages have."""
-    quota = max(1, min(most, most * max_languages // max(1, len(languages)) ** 2))
+    ``most`` entries in ``room`` languages have; it always has one."""
+    quota = max(1, min(most, most * room // max(1, len(languages)) ** 2))
     totals: dict[int, dict[str, int]] = defaultdict(dict)
     for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
         totals[r["size"]][r["lang"]] = r["n"]
@@ -225,16 +227,16 @@ def _tables(counts: DataFrame, languages: list[str], most: int, max_languages: i
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  per_language: int = 2500, max_words: int = 40000, max_grams: int = 20000,
-                 max_languages: int = 1000) -> LanguageModel:
+                 room: int = 1000) -> LanguageModel:
     """Learn from the rows of ``docs`` whose ``lang_col`` is not null."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter("_lang is not null and _text is not null")
-    sizes = _sizes(rows, max_languages).collect()
+    sizes = _sizes(rows).collect()
     languages = sorted(r["_lang"] for r in sizes)
     counts = written(_word_counts(_sampled(rows, sizes, per_language)), "language-words")
-    words = _tables(counts.select(F.lit(0).alias("size"), "lang", F.col("word").alias("entry"), "n"), languages, max_words, max_languages)
+    words = _tables(counts.select(F.lit(0).alias("size"), "lang", F.col("word").alias("entry"), "n"), languages, max_words, room)
     shorter = written(_gram_counts(counts).select(F.length("gram").alias("size"), "lang", F.col("gram").alias("entry"), "n"), "language-grams")
-    tables = _tables(shorter, languages, max_grams, max_languages)
+    tables = _tables(shorter, languages, max_grams, room)
     return LanguageModel(languages, words.get(0, Rows()), {n: tables.get(n, Rows()) for n in LENGTHS}, uuid.uuid4().hex)
 
 
