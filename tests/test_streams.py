@@ -116,3 +116,11 @@ def test_late_rows_are_set_aside_and_days_close_once(spark):
     batch(3, [])
     assert days(daily.open_days(spark, path)) == {(3, 3)}
     assert len(os.listdir(f"{path}/open")) <= 2 and len(os.listdir(f"{path}/floor")) <= 2
+
+
+def test_a_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    rows = spark.range(10).withColumn("doc_id", F.col("id"))
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for sf, n in ((str(tmp_path), 10), ("/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count())):
+        out = screen.run_to_table(spark, screen.table_stream(spark, sf, "documents").select("doc_id"), "test-table")
+        assert spark.read.parquet(out).count() == n

@@ -29,14 +29,15 @@ from .registry import close_registry, registry
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
                  partitions: int | None = None) -> DataFrame:
-    """A file stream over one driver table (the schema is taken from the
-    file once, never inferred per batch). ``partitions`` spreads the rows of
-    each micro-batch; off by default."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A file stream over one driver table, a file or a folder of files (the
+    schema is taken from the table once, never inferred per batch).
+    ``partitions`` spreads the rows of each micro-batch; off by default."""
+    path = table_path(sf_dir, name)
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return spread(r.parquet(sf_dir), partitions)
+    # a pattern that fits the table only: a stream takes a single file by a pattern, not by its path
+    return spread(r.parquet(table_path(sf_dir, f"[{name[0]}]{name[1:]}")), partitions)
 
 
 def events_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
