@@ -72,10 +72,14 @@ def idempotent_append(bdf: DataFrame, batch_id: int, path: str, query: str = "ba
     of a batch overwrites itself and two queries share a sink. Rows are
     reduced to one per request id, and those stay whose id this batch claims
     first among all batches of the sink (``registry``); no other batch is read."""
-    rows = audit.dedupe_requests(bdf)
-    won = registry(bdf.sparkSession, path).claim(rows.select("request_id"), query, batch_id)
-    rows = rows.join(won, "request_id", "left_semi").select(*bdf.columns)
-    audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
+    ids = registry(bdf.sparkSession, path)
+    bdf.persist()  # read for its ids and for its rows, screened once
+    try:
+        won = ids.claim(bdf.select("request_id").distinct(), query, batch_id)
+        rows = audit.dedupe_requests(bdf).join(won, "request_id", "left_semi").select(*bdf.columns)
+        audit.with_created_date(rows).write.mode("overwrite").parquet(f"{path}/query={query}/batch_id={batch_id}")
+    finally:
+        bdf.unpersist()
 
 
 def run_steps(spark: SparkSession, steps: Sequence[DataFrame], name: str, build: Callable[[DataFrame], DataFrame],
